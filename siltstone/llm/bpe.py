@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 
@@ -240,7 +241,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYT
     base = docs.select(*(docs[c] for c in docs.columns if c not in ("tokens", "n_tokens")))
     base = base.withColumn("text", F.col("text").cast("string"))
     at = base.columns.index("text")
-    schema = base.schema.add("tokens", "array<int>").add("n_tokens", "int")
+    schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
 
     def apply(batches):
         for part, tokens in _encoded(batches, at, path, batch_bytes):
@@ -252,9 +253,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYT
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """encoded with the column decoded: the text of tokens; null for null tokens. Bytes that aren't UTF-8 on their own,
     which only tokens from elsewhere can give, become the replacement character; an id outside the vocabulary is an error."""
-    at = encoded.columns.index("tokens")
     base = encoded.select(*(encoded[c] for c in encoded.columns if c != "decoded"))
-    schema = base.schema.add("decoded", "string")
+    schema = T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())])
     at = base.columns.index("tokens")
 
     def apply(batches):

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, line_dedup, near_dedup, quality, secret_scan, toxicity
+from . import bpe, decontaminate, language, line_dedup, near_dedup, quality, secret_scan, top_k, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.removal_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": top_k.ORACLE_SQL,
     "op2_decontamination": decontaminate.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_secret_scan": secret_scan.ORACLE_SQL,

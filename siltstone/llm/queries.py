@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, line_dedup, near_dedup, quality, secret_scan, top_k, toxicity
+from . import bpe, decontaminate, html_extract, language, line_dedup, near_dedup, quality, secret_scan, top_k, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -4,25 +4,498 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..functions import kernels as N
+from ..operators import blocks, chunks, manifests, routing, stats
+from ..sources import entries as S
+from ..streaming import streams
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+CHUNK = (64, 128, 512)
+FRAME = 256
 
 
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, to) for n in names})
+
+
+_BYTES = "SELECT doc_id, lang, source, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents"
+_STATS = f"""
+b AS ({_BYTES}),
+v AS (SELECT doc_id, lang, source, h, list_transform(h, lambda x: CAST('0x' || x AS INTEGER)) AS v, len(h) AS n FROM b),
+f AS (SELECT doc_id, lang, source, n AS size, coalesce(list_aggregate(h, 'entropy'), 0) AS entropy,
+  CASE WHEN n = 0 THEN 0 ELSE 1 - len(list_distinct(h)) / n END AS byte_repetition,
+  CASE WHEN n < 8 THEN 0 ELSE 1 - len(list_distinct(list_transform(range(0, n - 3, greatest(1, (n - 3) // 4096)), lambda i: h[i + 1] || h[i + 2] || h[i + 3] || h[i + 4]))) / len(range(0, n - 3, greatest(1, (n - 3) // 4096))) END AS substring_repetition,
+  CASE WHEN n < 2 THEN 0 ELSE len(list_filter(range(1, n), lambda i: abs((v[i + 1] - v[i] + 384) % 256 - 128) <= 3)) / (n - 1) END AS smoothness,
+  CASE WHEN n = 0 THEN 0 ELSE len(list_filter(v, lambda x: x IN (9, 10, 13) OR x BETWEEN 32 AND 126)) / n END AS ascii,
+  CASE WHEN n = 0 THEN 0 ELSE len(list_filter(v, lambda x: x = 0)) / n END AS zero,
+  CASE WHEN n = 0 THEN 0 ELSE len(list_filter(v, lambda x: x < 16)) / n END AS small,
+  CASE WHEN n <= 4 THEN 0 ELSE list_aggregate(list_transform(range(4, n), lambda i: (v[i + 1] - v[i - 3] + 256) % 256), 'entropy') END AS delta4 FROM v)"""
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.block_statistics(S.documents(spark, sf_dir), "doc_id", "content")
+
+
+@_query("""
+SELECT CAST(sum(n) AS BIGINT) AS logical_count, count(*) AS unique_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_count, CAST(sum((n - 1) * size) AS BIGINT) AS saved_bytes
+FROM (SELECT sha256(text) AS digest, strlen(text) AS size, count(*) AS n FROM documents GROUP BY 1, 2)""")
 def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _documents(spark, sf_dir).select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), F.octet_length("text").cast("bigint").alias("size"))
+    keyed = S.documents(spark, sf_dir).select(C.digest(F.col("content")).alias("digest"), "size")
     groups = keyed.groupBy("digest", "size").agg(F.count("*").alias("n"))
-    return groups.agg(
-        F.sum("n").alias("logical_count"), F.count("*").alias("unique_count"), F.sum(F.col("n") - 1).alias("duplicate_count"), F.sum((F.col("n") - 1) * F.col("size")).cast("bigint").alias("saved_bytes")
+    return groups.agg(F.sum("n").alias("logical_count"), F.count("*").alias("unique_count"), F.sum(F.col("n") - 1).alias("duplicate_count"), F.sum((F.col("n") - 1) * F.col("size")).cast("bigint").alias("saved_bytes"))
+
+
+@_query(f"""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(strlen(text) / {FRAME}.0) AS BIGINT))) AS k FROM documents WHERE strlen(text) > 0),
+o AS (SELECT doc_id, k, substr(h, k * {2 * FRAME} + 1, {2 * FRAME}) AS p FROM b),
+m AS (SELECT doc_id, length(p) // 2 AS size, row_number() OVER (PARTITION BY p ORDER BY doc_id, k) > 1 AS dup, first_value(doc_id) OVER (PARTITION BY p ORDER BY doc_id, k) AS owner FROM o)
+SELECT count(*) AS logical_count, count_if(NOT dup) AS unique_count, count_if(dup) AS duplicate_count, CAST(coalesce(sum(size) FILTER (dup), 0) AS BIGINT) AS saved_bytes,
+  count_if(dup AND owner <> doc_id) AS cross_count, CAST(coalesce(sum(size) FILTER (dup AND owner <> doc_id), 0) AS BIGINT) AS cross_saved_bytes FROM m""")
+def block_dedup_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks.fixed_blocks(S.documents(spark, sf_dir).select("doc_id", "content"), FRAME)
+    keyed = rows.select("doc_id", "block_no", C.digest(F.col("bytes")).alias("digest"), F.octet_length("bytes").alias("size"))
+    return chunks.accounting(keyed, ["doc_id", "block_no"], "doc_id")
+
+
+@_query("""
+WITH f AS (SELECT doc_id, source, first_value(doc_id) OVER w AS first_doc_id, first_value(source) OVER w AS first_source FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id, source))
+SELECT doc_id, source, first_doc_id, first_source FROM f WHERE source <> first_source""")
+def cross_source_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = S.documents(spark, sf_dir).select("doc_id", "source", C.digest(F.col("content")).alias("digest"), "size")
+    rows = chunks.canonical(keyed, ["doc_id", "source"])
+    return rows.select("doc_id", "source", F.col("first.doc_id").alias("first_doc_id"), F.col("first.source").alias("first_source")).where("source <> first_source")
+
+
+@_query(f"SELECT lang, CAST('0x' || x AS INTEGER) AS byte, count(*) AS n FROM (SELECT lang, unnest(h) AS x FROM ({_BYTES})) GROUP BY ALL")
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.byte_histogram(S.documents(spark, sf_dir), "lang", "content")
+
+
+@_query(f"SELECT lang, round(entropy(x), 6) AS entropy FROM (SELECT lang, unnest(h) AS x FROM ({_BYTES})) GROUP BY ALL")
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(blocks.entropy_of(byte_histogram(spark, sf_dir), "lang"), "entropy")
+
+
+@_query(f"""WITH {_STATS}
+SELECT doc_id, size, round(entropy, 6) AS entropy_bits_per_byte, round(byte_repetition, 6) AS byte_repetition_ratio, round(substring_repetition, 6) AS substring_repetition_ratio,
+  round(smoothness, 6) AS delta_smoothness_ratio, round(ascii, 6) AS ascii_ratio, round(zero, 6) AS zero_ratio, round(small, 6) AS small_symbol_ratio, round(delta4, 6) AS delta4_entropy,
+  size >= 1024 AND entropy >= 7.85 AND substring_repetition <= 0.02 AND smoothness <= 0.08 AS random_looking FROM f""")
+def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_stats(spark, sf_dir).drop("rle_size", "delta8_size", "lane"), *blocks.STATISTICS)
+
+
+@_query(f"""WITH {_STATS}
+SELECT lang, round(avg(entropy), 6) AS entropy_bits_per_byte, round(avg(byte_repetition), 6) AS byte_repetition_ratio, round(avg(substring_repetition), 6) AS substring_repetition_ratio,
+  round(avg(smoothness), 6) AS delta_smoothness_ratio, round(avg(ascii), 6) AS ascii_ratio, round(avg(zero), 6) AS zero_ratio, round(avg(small), 6) AS small_symbol_ratio,
+  avg(CASE WHEN size >= 1024 AND entropy >= 7.85 AND substring_repetition <= 0.02 AND smoothness <= 0.08 THEN 1.0 ELSE 0.0 END) AS random_looking_ratio FROM f GROUP BY lang""")
+def avg_features_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.documents(spark, sf_dir).select(F.col("lang").alias("key"), "content")
+    return _rounded(blocks.average_features(blocks.block_statistics(docs, "key", "content"), "key").withColumnRenamed("key", "lang"), *N.FEATURES)
+
+
+@_query(f"WITH {_STATS} SELECT doc_id, CASE WHEN entropy >= 7.75 THEN 'high_entropy' WHEN entropy >= 3 AND entropy - delta4 >= 2 THEN 'delta4' ELSE 'standard' END AS lane FROM f")
+def lane_router_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("doc_id", "lane")
+
+
+@_query(f"WITH {_STATS} SELECT CASE WHEN entropy >= 7.75 THEN 'high_entropy' WHEN entropy >= 3 AND entropy - delta4 >= 2 THEN 'delta4' ELSE 'standard' END AS lane, count(*) AS n, CAST(sum(size) AS BIGINT) AS raw_bytes FROM f GROUP BY 1")
+def lane_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("n"), F.sum("size").alias("raw_bytes"))
+
+
+@_query(f"WITH {_STATS} SELECT doc_id, 'RAW,RLE,' || CASE WHEN smoothness >= 0.55 THEN 'DELTA8,' ELSE '' END || CASE WHEN size >= 256 AND entropy < 7.75 THEN 'BYTE_RANS,' ELSE '' END || 'DEFLATE' AS codecs FROM f")
+def candidate_codecs_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = blocks.candidate_codecs(F.col("delta_smoothness_ratio"), F.col("size"), F.col("entropy_bits_per_byte"))
+    return _stats(spark, sf_dir).select("doc_id", F.array_join(names, ",").alias("codecs"))
+
+
+@_query(f"""
+WITH u AS (SELECT doc_id, unnest(h) AS x, unnest(range(len(h))) AS i FROM ({_BYTES})),
+l AS (SELECT doc_id, i, x, (CAST('0x' || x AS INTEGER) - CAST('0x' || lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) + 256) % 256 AS d FROM u),
+g AS (SELECT doc_id, i, x, d, i - row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS r, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS s FROM l),
+r AS (SELECT doc_id, CAST(sum(2 * ceil(c / 255.0)) AS BIGINT) AS rle_size FROM (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id, x, r) GROUP BY 1),
+t AS (SELECT doc_id, CAST(sum(2 * ceil(c / 255.0)) AS BIGINT) AS steps FROM (SELECT doc_id, count(*) AS c FROM g WHERE d IS NOT NULL GROUP BY doc_id, d, s) GROUP BY 1)
+SELECT doc_id, coalesce(rle_size, 0) AS rle_size, CASE WHEN rle_size IS NULL THEN 0 ELSE 1 + coalesce(steps, 0) END AS delta8_size FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def run_length_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("doc_id", "rle_size", "delta8_size")
+
+
+@_query("""SELECT source, CAST(sum(n) AS BIGINT) AS raw_bytes, CAST(sum(p) AS BIGINT) AS padded_bytes, CAST(sum(p - n) AS BIGINT) AS overhead_bytes
+FROM (SELECT source, strlen(coalesce(text, '')) AS n, (strlen(coalesce(text, '')) + 8 + 1023) // 1024 * 1024 AS p FROM documents) GROUP BY source""")
+def padding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.padding(S.documents(spark, sf_dir), "size", 1024, "source")
+
+
+@_query(f"""
+SELECT doc_id, c AS frame_count, CAST(coalesce(sum(c) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_frame
+FROM (SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / {FRAME}.0) AS BIGINT) AS c FROM documents)""")
+def frame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.framed(S.documents(spark, sf_dir).select("doc_id", "size"), "doc_id", "size", FRAME).select("doc_id", "frame_count", "first_frame")
+
+
+@_query("""SELECT doc_id, source, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS done,
+  round(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id) * 100 / nullif(CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE), 0), 0), 4) AS percent
+FROM (SELECT doc_id, source, strlen(coalesce(text, '')) AS n FROM documents)""")
+def progress_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.running_share(S.documents(spark, sf_dir).select("doc_id", "source", "size"), "source", ["doc_id"], "size").drop("size")
+
+
+@_query("SELECT event_id, user_id, epoch_us(ts) - coalesce(lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta_us FROM events")
+def mtime_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return S.table(spark, sf_dir, "events").select("event_id", "user_id", (us - F.coalesce(F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0))).alias("delta_us"))
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.col("url"), "^[a-z]+://", "").alias("path"))
+
+
+_PATHS = "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages"
+_BAD_PART = """(x = '' OR x IN ('.', '..') OR regexp_matches(x, '[ .]$') OR regexp_matches(x, '[<>:"\\\\|?*\\x00-\\x1f]') OR upper(split_part(x, '.', 1)) IN (""" + ", ".join(f"'{r}'" for r in C.RESERVED) + "))"
+
+
+@_query(f"SELECT page_id, strlen(path) <= 65535 AND len(list_filter(string_split(path, '/'), lambda x: {_BAD_PART})) = 0 AS valid FROM ({_PATHS})")
+def path_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_paths(spark, sf_dir).select("page_id", C.portable_path(F.col("path")).alias("valid"))
+
+
+@_query(f"""WITH p AS ({_PATHS})
+SELECT 'path' AS rule, path AS entity, 'not portable' AS detail FROM p WHERE NOT (strlen(path) <= 65535 AND len(list_filter(string_split(path, '/'), lambda x: {_BAD_PART})) = 0)
+UNION ALL SELECT 'collision', lower(path), CAST(count(*) AS VARCHAR) FROM p GROUP BY lower(path) HAVING count(*) > 1
+UNION ALL SELECT 'parent', parent, 'missing' FROM (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM p) WHERE parent <> '' AND parent NOT IN (SELECT path FROM p WHERE path LIKE '%/')""")
+def path_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.path_violations(_page_paths(spark, sf_dir).withColumn("is_dir", F.col("path").endswith("/")), "path", "is_dir")
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunk references, some of them damaged on purpose: the validators must name each."""
+    keyed = S.documents(spark, sf_dir).select(F.col("doc_id").alias("occ"), C.digest(F.col("content")).alias("digest"), "size")
+    rows = chunks.canonical(keyed, ["occ"]).select("occ", "digest", "size", F.col("first.occ").alias("source_index"))
+    return rows.withColumn("source_index", F.when(F.pmod("occ", F.lit(97)) == 5, F.col("occ") + 3).when(F.pmod("occ", F.lit(97)) == 6, F.col("occ") - 6).otherwise(F.col("source_index")))
+
+
+@_query("""
+WITH k AS (SELECT doc_id AS occ, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
+r AS (SELECT occ, digest, size, CASE WHEN occ % 97 = 5 THEN occ + 3 WHEN occ % 97 = 6 THEN occ - 6 ELSE min(occ) OVER (PARTITION BY digest, size) END AS src FROM k),
+j AS (SELECT a.occ, CASE WHEN a.src > a.occ THEN 'forward' WHEN b.occ IS NULL THEN 'absent' WHEN b.src <> b.occ THEN 'chained' WHEN a.digest <> b.digest OR a.size <> b.size THEN 'content' END AS why FROM r a LEFT JOIN r b ON a.src = b.occ)
+SELECT 'reference' AS rule, CAST(occ AS VARCHAR) AS entity, why AS detail FROM j WHERE why IS NOT NULL""")
+def reference_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.reference_violations(_references(spark, sf_dir))
+
+
+@_query("""
+WITH s AS (SELECT conv_id, sum(strlen(coalesce(text, ''))) AS n, max(turn) * 100 AS declared FROM conversations GROUP BY conv_id)
+SELECT 'size' AS rule, CAST(conv_id AS VARCHAR) AS entity, CAST(CAST(n - declared AS BIGINT) AS VARCHAR) AS detail FROM s WHERE n <> declared""")
+def size_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = S.conversations(spark, sf_dir)
+    declared = turns.groupBy("conv_id").agg((F.max("turn") * 100).alias("declared"))
+    return manifests.size_violations(declared, "conv_id", "declared", turns.select("conv_id", "size"))
+
+
+@_query(f"""
+WITH c AS (SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / {FRAME}.0) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM c)
+SELECT 'range' AS rule, CAST(doc_id AS VARCHAR) AS entity, '1' AS detail FROM s WHERE doc_id % 101 = 7""")
+def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame_layout(spark, sf_dir).withColumn("first_frame", F.col("first_frame") + (F.pmod("doc_id", F.lit(101)) == 7).cast("int"))
+    return manifests.range_violations(rows, "doc_id", "first_frame", "frame_count")
+
+
+@_query("""
+WITH r AS (SELECT event_id, sum(strlen(props)) OVER (ORDER BY event_id) AS upto, row_number() OVER (ORDER BY event_id) AS n FROM events)
+SELECT 'limit' AS rule, CAST(event_id AS VARCHAR) AS entity, CASE WHEN upto > 300000 THEN 'bytes' ELSE 'frames' END AS detail FROM r WHERE upto > 300000 OR n > 9000""")
+def limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = S.table(spark, sf_dir, "events").select("event_id", F.octet_length("props").alias("size"))
+    return manifests.limit_violations(frames, "event_id", "size", 300_000, 9_000)
+
+
+@_query("""SELECT 'order' AS rule, conv_id || ':' || turn AS entity, CAST(w AS VARCHAR) AS detail FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS w FROM conversations) WHERE turn <> w""")
+def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.order_violations(S.table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@_query("SELECT 'dependency' AS rule, source AS entity, CAST(count(DISTINCT lang) AS VARCHAR) AS detail FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+def dependency_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.dependency_violations(S.table(spark, sf_dir, "documents"), ["source"], ["lang"])
+
+
+@_query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM (SELECT doc_id, CAST(n_chars > 2000 AS INTEGER) AS v FROM documents) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR d.v IS DISTINCT FROM l.v")
+def declared_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = S.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("int").alias("v"))
+    return manifests.difference(declared, S.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), ["doc_id"], "v")
+
+
+@_query("""
+WITH p AS (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN (SELECT n_nationkey AS c_nationkey FROM nation) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)),
+h AS (SELECT DISTINCT c_mktsegment, c_nationkey, o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey)
+SELECT *, 'missing' AS status FROM (SELECT * FROM p EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM h EXCEPT SELECT * FROM p)""")
+def matrix_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, orders = S.table(spark, sf_dir, "customer"), S.table(spark, sf_dir, "orders")
+    found = customer.join(orders, customer["c_custkey"] == orders["o_custkey"])
+    return manifests.incomplete(found, customer.select("c_mktsegment").distinct(), S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey")), orders.select("o_orderpriority").distinct())
+
+
+@_query("SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, median(l_quantity) AS median, mad(l_quantity) AS mad FROM lineitem GROUP BY ALL")
+def median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.median_mad(S.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
+@_query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS p025, round(quantile_cont(value, 0.5), 6) AS p500, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY ALL")
+def type7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.percentiles(S.table(spark, sf_dir, "events"), ["event_type"], "value", {"p025": 0.025, "p500": 0.5, "p975": 0.975}), "p025", "p500", "p975")
+
+
+@_query("""SELECT l_suppkey, count(*) AS runs, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS l_linestatus, count(DISTINCT l_linestatus) = 1 AS consistent,
+  round(median(l_quantity), 6) AS median_l_quantity, max(l_tax) AS max_l_tax, round(coalesce(count(*) / 1048576.0 / nullif(median(l_quantity), 0), 0), 12) AS mib_s_l_quantity FROM lineitem GROUP BY l_suppkey""")
+def run_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.run_summary(S.table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_linestatus"], ["l_quantity"], ["l_tax"], "runs")
+    return _rounded(_rounded(rows, "median_l_quantity"), "mib_s_l_quantity", to=12)
+
+
+@_query("SELECT source, count(*) AS file_count, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS original_size FROM documents GROUP BY source")
+def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("file_count"), F.sum("size").alias("original_size"))
+
+
+_SIZES = "SELECT o_orderpriority, o_orderstatus, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS size FROM orders GROUP BY ALL"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.sum(F.floor("o_totalprice")).cast("bigint").alias("size"))
+
+
+@_query(f"WITH s AS ({_SIZES}) SELECT a.o_orderpriority, a.o_orderstatus, a.size, b.size - a.size AS delta_bytes, round((b.size - a.size) / a.size, 6) AS delta_ratio FROM s a JOIN s b ON a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus = 'F' WHERE a.o_orderstatus <> 'F'")
+def size_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.size_deltas(_sizes(spark, sf_dir), ["o_orderpriority"], "o_orderstatus", "size", "F"), "delta_ratio")
+
+
+@_query(f"WITH s AS ({_SIZES}), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY size, o_orderstatus) AS k FROM s) SELECT o_orderpriority, o_orderstatus, size FROM r WHERE k = 1")
+def argmin_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.least(_sizes(spark, sf_dir), ["o_orderpriority"], "size", "o_orderstatus")
+
+
+@_query("""
+WITH c AS (SELECT o_custkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS input_bytes, CAST(max(CAST(floor(o_totalprice) AS BIGINT)) * 2 AS BIGINT) AS candidate, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) - min(CAST(floor(o_totalprice) AS BIGINT)) // 9 AS BIGINT) AS best_raw, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) + 5000 AS BIGINT) AS smallest_encrypted FROM orders GROUP BY 1),
+v AS (SELECT *, best_raw * 100 > input_bytes * 99 AS incompressible, greatest(4096, CAST(ceil(input_bytes / 2000) AS BIGINT)) AS allowance FROM c)
+SELECT *, CASE WHEN incompressible THEN least(smallest_encrypted, input_bytes + allowance) ELSE least(best_raw, smallest_encrypted) END AS limit_bytes, CASE WHEN incompressible THEN candidate <= input_bytes + allowance AND candidate <= smallest_encrypted ELSE candidate < least(best_raw, smallest_encrypted) END AS passed FROM v""")
+def size_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.floor("o_totalprice")
+    cases = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.sum(price).alias("input_bytes"), (F.max(price) * 2).alias("candidate"), (F.sum(price) - F.floor(F.min(price) / 9)).alias("best_raw"), (F.sum(price) + 5000).alias("smallest_encrypted")
     )
+    return stats.size_verdict(cases)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"doc_exact_dedup": doc_exact_dedup}
-ORACLE_SQL: dict[str, str] = {
-    "doc_exact_dedup": """
-SELECT CAST(sum(n) AS BIGINT) AS logical_count, count(*) AS unique_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_count, CAST(sum((n - 1) * size) AS BIGINT) AS saved_bytes
-FROM (SELECT sha256(text) AS digest, strlen(text) AS size, count(*) AS n FROM documents GROUP BY 1, 2)"""
-}
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case identity per customer."""
+    c = S.table(spark, sf_dir, "customer")
+    who = [F.sha2(F.encode("c_mktsegment", "utf-8"), 256).alias("contract_sha256"), F.sha2(F.encode(F.col("c_nationkey").cast("string"), "utf-8"), 256).alias("corpus_manifest_sha256"), F.lower("c_mktsegment").alias("corpus_id"), F.sha2(F.lit(b"x"), 256).alias("input_sha256"), F.lit(67108864).alias("input_bytes"), F.lit(8).alias("thread_count"), F.lit("encode_wall_seconds").alias("metric")]
+    return c.select("c_custkey", *who)
+
+
+_PREFIXED = " || ".join(f"unhex(lpad(hex(strlen({f})), 8, '0')) || encode({f})" for f in (f"'{stats.CASE_DOMAIN}'", "sha256(c_mktsegment)", "sha256(CAST(c_nationkey AS VARCHAR))", "lower(c_mktsegment)", "sha256('x')", "'67108864'", "'8'", "'encode_wall_seconds'"))
+
+
+@_query(f"SELECT c_custkey, '{stats.CASE_PREFIX}' || sha256({_PREFIXED}) AS case_id FROM customer")
+def case_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cases(spark, sf_dir)
+    return rows.select("c_custkey", stats.case_id(rows).alias("case_id"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case per supplier: eleven runs of summed quantities and, as comparator, of line counts."""
+    lines = S.table(spark, sf_dir, "lineitem").withColumn("run", F.col("l_orderkey") % stats.MEASURED)
+    runs = lines.groupBy("l_suppkey", "run").agg((F.sum("l_quantity") / 25).alias("a"), F.count("*").cast("double").alias("b"))
+    x = F.array_sort(F.collect_list(F.struct("run", "a", "b")))
+    fixed = {"contract_sha256": F.sha2(F.lit(b"contract"), 256), "corpus_manifest_sha256": F.sha2(F.lit(b"manifest"), 256), "corpus_id": F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")), "input_sha256": F.sha2(F.lit(b"input"), 256), "input_bytes": F.lit(67108864), "thread_count": F.lit(8), "metric": F.lit("encode_wall_seconds")}
+    cases = runs.groupBy("l_suppkey").agg(x.alias("x")).where(F.size("x") == stats.MEASURED).withColumns(fixed)
+    return cases.select("l_suppkey", stats.stream_material(F.lit("zstd_raw")).alias("material"), F.col("x.a").alias("candidate"), F.col("x.b").alias("comparator"))
+
+
+@_query()
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.bootstrap(_samples(spark, sf_dir), "l_suppkey")
+
+
+@_query()
+def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.overall(bootstrap_ci(spark, sf_dir))
+
+
+@_query()
+def rans_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.scaled_frequencies(byte_histogram(spark, sf_dir), "lang")
+
+
+@_query()
+def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.content_chunks(S.documents(spark, sf_dir), "doc_id", "content", *CHUNK)
+
+
+@_query()
+def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.accounting(cdc_chunks(spark, sf_dir), ["doc_id", "seq"], "doc_id")
+
+
+@_query("""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(strlen(text) / 64.0) AS BIGINT))) AS k FROM documents WHERE strlen(text) > 0),
+o AS (SELECT doc_id, k * 64 AS off, substr(h, k * 128 + 1, 128) AS p FROM b),
+l AS (SELECT doc_id, off, lag(off) OVER (PARTITION BY doc_id, p ORDER BY off) AS before FROM o)
+SELECT doc_id, off, CASE WHEN off - before <= 4096 THEN before END AS source_off FROM l""")
+def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks.fixed_blocks(S.documents(spark, sf_dir).select("doc_id", "content"), 64)
+    keyed = rows.select("doc_id", (F.col("block_no") * 64).cast("bigint").alias("off"), C.digest(F.col("bytes")).alias("digest"))
+    return chunks.windowed_dedup(keyed, "doc_id", "off", "digest", 4096).drop("digest")
+
+
+@_query()
+def codec_trial_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.trial_sizes(S.table(spark, sf_dir, "benchmark").withColumn("content", C.utf8(F.col("text"))), ["item_id"], "content")
+
+
+@_query()
+def routed_mode_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = routing.encode_blocks(S.documents(spark, sf_dir), ["doc_id"], "content", payload=False)
+    return coded.groupBy("mode").agg(F.count("*").alias("n"), F.sum("size").alias("raw_bytes"), F.sum("payload_size").alias("payload_bytes"))
+
+
+@_query()
+def sampled_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.sampled_lanes(S.documents(spark, sf_dir), ["doc_id"], "content")
+
+
+@_query("SELECT count(*) AS entries, count(*) AS equal FROM documents WHERE strlen(coalesce(text, '')) > 0")
+def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.documents(spark, sf_dir)
+    pieces = chunks.content_chunks(docs, "doc_id", "content", *CHUNK, payload=True)
+    unique = pieces.groupBy("digest", "size").agg(F.min("bytes").alias("bytes"))
+    back = chunks.restore(pieces.drop("bytes"), unique, "doc_id").withColumnRenamed("content", "restored")
+    both = docs.where("size > 0").join(back, "doc_id", "left")
+    return both.agg(F.count("*").alias("entries"), F.count_if(F.col("content") == F.col("restored")).alias("equal"))
+
+
+@_query("SELECT count(*) AS entries, count(*) AS opened, CAST(0 AS BIGINT) AS opened_elsewhere FROM documents")
+def seal_open_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lit(routing.derive_key("a test password", b"siltstone-salt-1", 14))
+    coded = routing.encode_blocks(S.documents(spark, sf_dir), ["doc_id"], "content", "fast")
+    sealed = coded.withColumn("sealed", routing.seal(F.col("payload"), key, F.col("doc_id")))
+    opened = routing.unseal(F.col("sealed"), key, F.col("doc_id"))
+    return sealed.agg(F.count("*").alias("entries"), F.count_if(opened == F.col("payload")).alias("opened"), F.count_if(routing.unseal(F.col("sealed"), key, F.col("doc_id") + 1).isNotNull()).alias("opened_elsewhere"))
+
+
+@_query("SELECT count(*) AS chunks, count(*) AS equal FROM (SELECT unnest(range(CAST(ceil(strlen(text) / 1024.0) AS BIGINT))) FROM documents WHERE strlen(text) > 0)")
+def solid_lane_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks.fixed_blocks(S.documents(spark, sf_dir).select("doc_id", "content"), 1024)
+    rows = rows.withColumn("id", F.col("doc_id") * 65536 + F.col("block_no"))
+    lanes = blocks.block_statistics(rows, "id", "bytes").select("id", "lane")
+    routed = rows.join(lanes, "id").withColumn("segment", F.floor(F.col("doc_id") / 64))
+    placed = routed.withColumn("place", F.row_number().over(Window.partitionBy("segment", "lane").orderBy("id")) - 1)
+    back = routing.open_lanes(routing.solid_lanes(routed, "segment", ["id"], "lane", "bytes"), "segment").withColumnRenamed("bytes", "again")
+    both = placed.join(back, ["segment", "lane", "place"], "left")
+    return both.agg(F.count("*").alias("chunks"), F.count_if(F.col("bytes") == F.col("again")).alias("equal"))
+
+
+@_query()
+def mutation_fuzz_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = routing.encode_blocks(S.table(spark, sf_dir, "benchmark").withColumn("content", C.utf8(F.col("text"))), ["item_id"], "content", "research")
+    return routing.fuzz(coded, "item_id", 16)
+
+
+@_query("""
+WITH d AS (SELECT source, doc_id // 4096 AS bucket, doc_id, doc_id || ':' || strlen(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) AS line FROM documents),
+b AS (SELECT source, bucket, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS x FROM d GROUP BY ALL)
+SELECT source, sha256(string_agg(bucket || ':' || x, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY source""")
+def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ordered lines by id range, then of the ranges: no task holds a whole source."""
+    line = F.concat_ws(":", "doc_id", "size", C.digest(F.col("content")))
+    docs = S.documents(spark, sf_dir).select("source", F.floor(F.col("doc_id") / 4096).alias("bucket"), "doc_id", line.alias("line"))
+    fold = lambda key, text: F.sha2(F.encode(F.array_join(F.array_sort(F.collect_list(F.struct(key, text)))[text], "\n"), "utf-8"), 256)
+    low = docs.groupBy("source", "bucket").agg(fold("doc_id", "line").alias("x")).withColumn("line", F.concat_ws(":", "bucket", "x"))
+    return low.groupBy("source").agg(fold("bucket", "line").alias("digest"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.2f KiB', s / 1024) WHEN s < 1073741824 THEN printf('%.2f MiB', s / 1048576) ELSE printf('%.2f GiB', s / 1073741824) END AS size
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_custkey % 7) AS s FROM orders)""")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", C.human_size(F.floor("o_totalprice") * (F.col("o_custkey") % 7)).alias("size"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN a = 0 THEN [0] WHEN a = b THEN [a] ELSE list_sort(list_distinct(list_concat(range(a, b + 1), [a + 20]))) END AS ids FROM (SELECT o_orderkey, o_custkey % 8 AS a, o_custkey % 8 + o_orderkey % 3 AS b FROM orders)")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("o_custkey") % 8, F.col("o_custkey") % 8 + F.col("o_orderkey") % 3
+    text = F.when(a == 0, "0").when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"), F.lit(","), (a + 20).cast("string")))
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", manifests.id_set(text).cast("array<bigint>").alias("ids"))
+
+
+@_query("""
+WITH RECURSIVE p AS (SELECT s_suppkey AS pid, s_suppkey // 2 AS ppid FROM supplier),
+w AS (SELECT pid, pid AS ancestor, 0 AS depth FROM p UNION ALL SELECT w.pid, p.ppid, w.depth + 1 FROM w JOIN p ON w.ancestor = p.pid JOIN p q ON q.pid = p.ppid WHERE p.ppid <> p.pid)
+SELECT pid, ancestor, min(depth) AS depth FROM w GROUP BY ALL""")
+def process_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.ancestry(S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pid"), F.floor(F.col("s_suppkey") / 2).alias("ppid")))
+
+
+@_query("SELECT page_id, regexp_matches(url, '^https?://[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+(/[^?# ]*)?$') AS plain_url FROM pages")
+def url_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike(r"^https?://[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+(/[^?# ]*)?$").alias("plain_url"))
+
+
+@_query("SELECT event_type, json_keys(props) = ['k', 'v'] AS keys_ok, count(*) AS n FROM events GROUP BY ALL")
+def json_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.json_keys(S.table(spark, sf_dir, "events"), "props", ["k", "v"]).groupBy("event_type", "keys_ok").agg(F.count("*").alias("n"))
+
+
+@_query()
+def segment_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.pack_segments(S.conversations(spark, sf_dir).select("conv_id", "turn", "size"), "conv_id", "turn", "size", 600)
+
+
+@_query("SELECT count_if(quality = 1) AS completed, count(*) AS total, round(count_if(quality = 1) * 100 / count(*), 2) AS percent FROM labels")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.readiness(S.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("done")))
+
+
+@_query("SELECT event_type, round(max(s), 6) AS peak FROM (SELECT event_type, date_trunc('hour', ts) AS h, sum(value) AS s FROM events GROUP BY ALL) GROUP BY event_type")
+def peak_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "events").withColumn("h", F.date_trunc("hour", "ts"))
+    return _rounded(stats.peak_of_sums(rows, "event_type", "h", "value"), "peak")
+
+
+@_query("SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def id_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = S.table(spark, sf_dir, "documents").select("doc_id"), S.table(spark, sf_dir, "labels").select("doc_id")
+    counted = lambda rows, kind: rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return counted(a.intersect(b), "both").unionAll(counted(a.subtract(b), "unlabelled")).unionAll(counted(a.union(b).distinct(), "either"))
+
+
+@_query("SELECT doc_id, CASE left(text, 4) WHEN 'MSC1' THEN 'single' ELSE 'unknown' END AS kind FROM documents")
+def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.documents(spark, sf_dir).select("doc_id", C.sniff(F.col("content")).alias("kind"))
+
+
+@_query()
+def stream_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = streams.follow(spark, f"{sf_dir}/documents.parquet")
+    parts = docs.select("doc_id", F.lit(0).alias("part_no"), C.utf8(F.coalesce("text", F.lit(""))).alias("bytes"), F.lit(True).alias("last"))
+    return streams.run_to_end(streams.chunk_parts(parts, "doc_id", *CHUNK))
+
+
+@_query("SELECT DISTINCT sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = streams.follow(spark, f"{sf_dir}/documents.parquet").select(C.utf8(F.coalesce("text", F.lit(""))).alias("content"))
+    return streams.run_to_end(streams.distinct_content(docs.select(C.digest(F.col("content")).alias("digest"), F.octet_length("content").cast("bigint").alias("size"))))

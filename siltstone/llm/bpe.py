@@ -224,7 +224,7 @@ def load(path: str = VOCABULARY) -> Tokenizer:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], at: int, path: str, batch_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for part in K.slices(batches, "text", batch_bytes):
+    for part in K.slices(batches, at, batch_bytes):
         column = part.column(at)
         tokens, begin = load(path).encode([t or "" for t in column.to_pylist()])
         null = column.is_null()
@@ -238,24 +238,27 @@ def encode(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYT
     Every text is encoded whole, on its own; repeated rows alike. Columns of docs that are called tokens or n_tokens are
     replaced; all others pass through.
     """
-    base = docs.select(*(docs[c] for c in docs.columns if c not in ("tokens", "n_tokens")))
-    base = base.withColumn("text", F.col("text").cast("string"))
-    at = base.columns.index("text")
+    apart, name = K.numbered(docs)
+    text, kept = name["text"], [i for i, c in enumerate(docs.columns) if c.lower() not in ("tokens", "n_tokens")]
+    base = apart.select(*(F.col(f"c{i}").cast("string").alias(f"c{i}") if f"c{i}" == text else F.col(f"c{i}") for i in kept))
+    at = base.columns.index(text)
     schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
 
     def apply(batches):
         for part, tokens in _encoded(batches, at, path, batch_bytes):
             yield pa.RecordBatch.from_arrays([*part.columns, tokens, tokens.value_lengths()], [*part.schema.names, "tokens", "n_tokens"])
 
-    return base.mapInArrow(apply, schema)
+    return base.mapInArrow(apply, schema).toDF(*(docs.columns[i] for i in kept), "tokens", "n_tokens")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """encoded with the column decoded: the text of tokens; null for null tokens. Bytes that aren't UTF-8 on their own,
     which only tokens from elsewhere can give, become the replacement character; an id outside the vocabulary is an error."""
-    base = encoded.select(*(encoded[c] for c in encoded.columns if c != "decoded"))
+    apart, name = K.numbered(encoded)
+    kept = [i for i, c in enumerate(encoded.columns) if c.lower() != "decoded"]
+    base = apart.select(*(f"c{i}" for i in kept))
     schema = T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())])
-    at = base.columns.index("tokens")
+    at = base.columns.index(name["tokens"])
 
     def apply(batches):
         for batch in batches:
@@ -263,7 +266,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 part = batch.slice(a, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(part.column(at), path)], [*part.schema.names, "decoded"])
 
-    return base.mapInArrow(apply, schema)
+    return base.mapInArrow(apply, schema).toDF(*(encoded.columns[i] for i in kept), "decoded")
 
 
 def _texts(tokens: pa.Array, path: str) -> pa.Array:
@@ -276,6 +279,7 @@ def _texts(tokens: pa.Array, path: str) -> pa.Array:
 def round_trip(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """A row per document: doc_id, tokens, n_tokens, and same, whether decoding them gives the text's bytes again (null for
     a null text). An empty table gives no rows."""
+    docs = K.only(docs, "doc_id", "text")
     base = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
 
     def apply(batches):

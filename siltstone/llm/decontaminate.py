@@ -210,8 +210,9 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHR
     for in blocks of block_bytes, a pass over the corpus each, so its size is bounded by passes, not by memory; spans of
     different blocks are merged again.
     """
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
-    items = ((r[0],) for r in benchmark.select("text").where("text is not null").toLocalIterator())
+    items = ((r[0],) for r in K.only(benchmark, "text").where("text is not null").toLocalIterator())
     found, passes = None, 0
     for block in _blocks(items, block_bytes):
         known, phrases = phrase_table(block, phrase_words)
@@ -251,16 +252,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """
     spans = removal_spans(docs, benchmark, **options)
     cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_cuts"))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_cut_id"]), "left")
+    base, name = K.numbered(docs)
+    text = base[name["text"]].cast("string")
+    joined = base.join(cuts, base[name["doc_id"]].cast("bigint").eqNullSafe(cuts["_cut_id"]), "left")
     kept = F.aggregate(
         F.col("_cuts"), F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, c: F.struct(F.concat(acc["text"], F.substring(docs["text"], (acc["at"] + 1).cast("int"), (c["start_char"] - acc["at"]).cast("int"))).alias("text"), F.greatest(acc["at"], c["end_char"]).alias("at")),
-        lambda acc: F.concat(acc["text"], F.substring(docs["text"], (acc["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda acc, c: F.struct(F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (c["start_char"] - acc["at"]).cast("int"))).alias("text"), F.greatest(acc["at"], c["end_char"]).alias("at")),
+        lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    cut = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(kept)
+    cut = F.when(F.col("_cuts").isNull(), text).otherwise(kept)
     out = joined.select("*", cut.alias("_left")).where("_cuts is null or _left rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
-    columns = [F.col("_left").alias(c) if c == "text" else F.length("_left").cast("bigint").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    size = F.when(F.col("_cuts").isNull(), F.col(name["n_chars"]).cast("bigint")).otherwise(F.length("_left").cast("bigint")) if "n_chars" in name else None
+    return out.select(*(F.col("_left") if c == name["text"] else size if c == name.get("n_chars") else F.col(c) for c in base.columns)).toDF(*docs.columns)
 
 
 #: DuckDB: words with their character offsets, phrases joined as text, overlapping occurrences merged as islands.

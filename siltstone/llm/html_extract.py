@@ -264,6 +264,7 @@ def value_hash(text: str) -> int:
 
 
 def _pages(pages: DataFrame) -> DataFrame:
+    pages = K.only(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select(K.integer_id(pages, "page_id"), F.when(host != "", host).alias("host"), F.col("html").cast("string").alias("html"))
 

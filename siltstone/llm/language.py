@@ -95,7 +95,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, total[some]])], ["gram", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(seen, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = K.only(docs, "text").select(F.col("text").cast("string").alias("text")).mapInArrow(seen, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(WIDTH, np.int64)
     count = 0
     for gram, n in rows:
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int =
 
     The sample is by hash of id and text, so it doesn't depend on row order. Rows with a null lang or text teach nothing.
     """
+    docs = K.only(docs, "doc_id", "lang", "text")
     df, count = document_frequency(docs)
     idf = (np.log((1 + count) / (1 + df)) + 1).astype(np.float32)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and text is not null")
@@ -166,11 +167,17 @@ def judge(column: pa.Array, model: dict, share: float = REJECT_SHARE) -> tuple[n
 
 def _judged(docs: DataFrame, model: dict, extra: bool) -> DataFrame:
     names = np.array([*model["langs"], None], dtype=object)
-    base = docs if extra else docs.select(K.integer_id(docs, "doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    at = base.columns.index("text")
+    if extra:
+        base, name = K.numbered(docs)
+        text = name["text"]
+        base = base.withColumn(text, F.col(text).cast("string"))
+    else:
+        docs, text = K.only(docs, "doc_id", "lang", "text"), "text"
+        base = docs.select(K.integer_id(docs, "doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    at = base.columns.index(text)
 
     def apply(batches):
-        for part in _small(batches, "text"):
+        for part in _small(batches, text):
             lang, top, ok = judge(part.column(at), model)
             if extra:
                 yield part.filter(pa.array(ok))
@@ -178,7 +185,9 @@ def _judged(docs: DataFrame, model: dict, extra: bool) -> DataFrame:
                 found = pa.array(names[np.where(ok, lang, len(names) - 1)].tolist(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found, pa.array(top), pa.array(~ok)], ["doc_id", "lang", "predicted_lang", "similarity", "rejected"])
 
-    return base.mapInArrow(apply, base.schema if extra else "doc_id bigint, lang string, predicted_lang string, similarity double, rejected boolean")
+    if extra:
+        return base.mapInArrow(apply, base.schema).toDF(*docs.columns)
+    return base.mapInArrow(apply, "doc_id bigint, lang string, predicted_lang string, similarity double, rejected boolean")
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:

@@ -54,6 +54,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(seq, pa.int32()), pa.array(no, pa.int32()), pa.array(ids), pa.array(words, pa.int32())], ["doc_id", "h", "seq", "line_no", "id", "words"])
 
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return texts.mapInArrow(apply, "doc_id bigint, h bigint, seq int, line_no int, id bigint, words int")
 
@@ -228,12 +229,15 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the deleted lines, n_chars set anew; a document of which only blank lines are left goes. Rows without
     deleted lines stay as they are, null and empty texts too; other columns pass through."""
     gone = _deleted(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list("lines")).alias("_gone"))
-    joined = docs.join(gone, (docs["doc_id"].cast("bigint") == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_h"]), "left")
+    base, name = K.numbered(docs)
+    text = base[name["text"]].cast("string")
+    joined = base.join(gone, (base[name["doc_id"]].cast("bigint") == gone["_id"]) & (F.xxhash64(text) == gone["_h"]), "left")
     numbers = F.map_from_entries(F.transform("_gone", lambda i: F.struct(i, F.lit(True))))
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.map_contains_key("_map", i)), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.map_contains_key("_map", i)), "\n")
     joined = joined.select("*", F.when(F.col("_gone").isNotNull(), numbers).alias("_map"))
-    joined = joined.select("*", F.when(F.col("_gone").isNull(), docs["text"]).otherwise(left).alias("_left")).where("_gone is null or _left rlike '[^\\\\s]'")
-    return joined.select(*(F.col("_left").alias(c) if c == "text" else F.length("_left").cast("bigint").alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
+    joined = joined.select("*", F.when(F.col("_gone").isNull(), text).otherwise(left).alias("_left")).where("_gone is null or _left rlike '[^\\\\s]'")
+    size = F.when(F.col("_gone").isNull(), F.col(name["n_chars"]).cast("bigint")).otherwise(F.length("_left").cast("bigint")) if "n_chars" in name else None
+    return joined.select(*(F.col("_left") if c == name["text"] else size if c == name.get("n_chars") else F.col(c) for c in base.columns)).toDF(*docs.columns)
 
 
 #: DuckDB: every pair of equal lines, runs of them along a diagonal, and the later lines of the runs that are long enough.

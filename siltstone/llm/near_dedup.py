@@ -62,6 +62,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
                 rows, f = fingerprints(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), *(pa.array(f[:, k]) for k in range(3))], ["doc_id", "f0", "f1", "f2"])
 
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return texts.mapInArrow(apply, "doc_id bigint, f0 bigint, f1 bigint, f2 bigint")
 
@@ -219,4 +220,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify_radius: int =
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose doc_id near_duplicates() lists; a null doc_id stays. All columns as they were."""
     gone = near_duplicates(docs, **options).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    base, name = K.numbered(docs)
+    return base.join(gone, F.col(name["doc_id"]).cast("bigint") == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -149,5 +149,6 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: dict | None =
             top[f["has"]] = order[at[f["has"]]] - at[f["has"]]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-f["logit"].astype(np.float64))), mask=none), pa.array(count, pa.int32()), pa.array(top.astype(np.int32), mask=none)], ["doc_id", "quality", "n_passages", "top_passage"])
 
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(apply, "doc_id bigint, quality double, n_passages int, top_passage int")

@@ -153,6 +153,8 @@ class TrigramIndex:
         inside = at + 3 <= off[owner + 1]
         at, owner = at[inside], owner[inside]
         pairs = np.unique(code[at].astype(np.int64) * self.n + owner)
+        if not len(pairs):
+            return
         found, texts = pairs // self.n, pairs % self.n
         cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
         for a, b in zip(cuts, np.r_[cuts[1:], len(found)]):
@@ -194,6 +196,7 @@ def _findings(docs: DataFrame, rules: dict[str, str] | None) -> DataFrame:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(c[0])), pa.array(c[1], pa.string()), *(pa.array(x, pa.int32()) for x in c[2:5]), pa.array(c[5], pa.string())], ["doc_id", "rule", "match_no", "start_char", "end_char", "sha256"])
 
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(apply, "doc_id bigint, rule string, match_no int, start_char int, end_char int, sha256 string")
 

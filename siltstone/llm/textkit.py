@@ -48,17 +48,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, found by exact name, whatever else rows has; of equal names the first."""
+    apart = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+    return apart.select(*(F.col(f"c{rows.columns.index(n)}").alias(n) for n in names))
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """rows with its columns called c0, c1, ..., so that no other name can clash, and the place of each name; toDF(*rows.columns)
+    brings the names back."""
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    return rows.toDF(*names), dict(reversed(list(zip(rows.columns, names))))
+
+
 def integer_id(df: DataFrame, name: str) -> Column:
     """The id column as bigint; a missing column is an error, a null stays null."""
     return F.col(f"`{name}`").cast("bigint").alias(name)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_bytes of text; a longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = flat(batch.column(batch.schema.get_field_index(column)))
+        _, off = flat(batch.column(column))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + max_bytes, side="right")) - 1)

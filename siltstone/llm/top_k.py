@@ -110,6 +110,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def clean(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
     """(id, v) rows that can be searched, one for each id, and their dimension: the most common one, the least of equals."""
+    vectors = K.only(vectors, id_column, vector_column)
     rows = vectors.select(K.integer_id(vectors, id_column).alias("id"), F.col(f"`{vector_column}`").cast("array<float>").alias("v"))
     fine = rows.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e18)")
     dims = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()

@@ -67,6 +67,7 @@ def _contexts(batches, toxic_at: int, text_at: int):
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(label, text) of at most about per_class labelled rows of each class, picked by hash of id and text; equal texts
     count once. Rows with a null id, label or text teach nothing."""
+    docs, labels = K.only(docs, "doc_id", "text"), K.only(labels, "doc_id", label)
     marks = labels.select(K.integer_id(labels, "doc_id"), F.col(label).cast("int").alias(label)).where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.max(label).alias(label))
     sizes = marks.groupBy(label).agg(F.count("*").alias("n"))
     picked = marks.join(F.broadcast(sizes), label).where(F.expr(f"pmod(xxhash64(doc_id), 1048576) < 1048576.0 * {per_class} / n")).select("doc_id", label)
@@ -161,5 +162,6 @@ def toxic_passages(docs: DataFrame, labels: DataFrame | None = None, model: dict
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:6]), *(pa.array(x, pa.float64()) for x in c[6:])], [x.split()[0] for x in SEGMENTS.split(", ")])
 
+    docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(apply, SEGMENTS)

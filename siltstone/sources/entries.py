@@ -6,6 +6,7 @@ import json
 import random
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,11 +43,19 @@ def _content(rows: DataFrame, column: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
-    """(path, depth, size, modified, content): the files below root, paths relative to it; only content is read lazily."""
+    """(path, depth, size, modified, content): the files below root, paths relative to it; only content is read lazily.
+
+    Scans leave out files without bytes, so those come from the file listing that the driver holds anyway; their modified
+    is null.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split("://")[-1].rstrip("/")
     path = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
-    out = files.select(path.alias("path"), F.size(F.split(path, "/")).alias("depth"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    found = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    listed = [(unquote(p).split(f"{base}/", 1)[1],) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(found.select("path"), "path", "left_anti")
+    every = found.unionAll(empty.select("path", F.lit(0).cast("bigint"), F.lit(None).cast("timestamp"), F.lit(b"")))
+    out = every.select("path", F.size(F.split("path", "/")).alias("depth"), "size", "modified", "content")
     return out if contents else out.drop("content")
 
 

@@ -26,7 +26,8 @@ Z_MIN = 3.5
 #: A word weighs in from this log-odds on; frequent words that lean slightly are neutral.
 SCORE_MIN = 1.0
 DRIFT = -0.3
-E_MAX = 0.05
+#: One false passage in a thousand clean documents.
+E_MAX = 1e-3
 SLICE = 4 << 20
 SEGMENTS = "doc_id bigint, segment int, start_word bigint, end_word bigint, start_char bigint, end_char bigint, score double, e_value double, doc_p_value double"
 

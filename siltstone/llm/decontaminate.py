@@ -266,19 +266,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return out.select(*(F.col("_left") if c == name["text"] else size if c == name.get("n_chars") else F.col(c) for c in base.columns)).toDF(*docs.columns)
 
 
+_leads = ", ".join(f"lead(word, {i}) OVER w AS w{i}, lead(CAST(upto AS BIGINT), {i}) OVER w AS e{i}" for i in range(1, PHRASE_WORDS))
+_joined = " ".join(f"WHEN {n} THEN word" + "".join(f" || ' ' || w{i}" for i in range(1, n)) for n in range(1, PHRASE_WORDS + 1))
+_ends = "WHEN 1 THEN end_char " + " ".join(f"WHEN {n} THEN e{n - 1}" for n in range(2, PHRASE_WORDS + 1))
+
 #: DuckDB: words with their character offsets, phrases joined as text, overlapping occurrences merged as islands.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS parts FROM documents),
 w AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM d),
 x AS (SELECT doc_id, k, lower(regexp_extract(part, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+$')) AS word, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w),
-g AS (SELECT doc_id, k, word, CAST(upto AS BIGINT) AS end_char, CAST(upto - length(word) AS BIGINT) AS start_char,
-  list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {PHRASE_WORDS - 1} FOLLOWING) AS gram FROM x),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM benchmark),
-p AS (SELECT DISTINCT list_slice(words, i + 1, i + least({PHRASE_WORDS}, len(words))) AS gram FROM (SELECT words, unnest(range(greatest(1, len(words) - {PHRASE_WORDS - 1}))) AS i FROM b WHERE len(words) > 0)),
-n AS (SELECT DISTINCT len(gram) AS n FROM p),
-m AS (SELECT g.doc_id, g.k AS a, g.k + n.n AS z FROM g, n, p WHERE len(g.gram) >= n.n AND len(p.gram) = n.n AND list_slice(g.gram, 1, n.n) = p.gram),
+g AS (SELECT doc_id, k, word, CAST(upto AS BIGINT) AS end_char, CAST(upto - length(word) AS BIGINT) AS start_char, {_leads} FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+b AS (SELECT regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM benchmark),
+p AS (SELECT DISTINCT least({PHRASE_WORDS}, len(words)) AS n, array_to_string(list_slice(words, i + 1, i + least({PHRASE_WORDS}, len(words))), ' ') AS phrase
+  FROM (SELECT words, unnest(range(greatest(1, len(words) - {PHRASE_WORDS - 1}))) AS i FROM b WHERE len(words) > 0)),
+c AS (SELECT doc_id, k, n, start_char, CASE n {_ends} END AS end_char, CASE n {_joined} END AS phrase FROM g CROSS JOIN (SELECT DISTINCT n FROM p)),
+m AS (SELECT doc_id, k AS a, k + n AS z, start_char, end_char FROM c JOIN p USING (n, phrase)),
 i AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
-s AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, z) AS island FROM i),
-u AS (SELECT doc_id, min(a) AS start_word, max(z) AS end_word FROM s GROUP BY doc_id, island)
-SELECT u.doc_id, u.start_word, u.end_word, f.start_char, l.end_char FROM u JOIN g f ON f.doc_id = u.doc_id AND f.k = u.start_word JOIN g l ON l.doc_id = u.doc_id AND l.k = u.end_word - 1
+s AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, z) AS island FROM i)
+SELECT doc_id, min(a) AS start_word, max(z) AS end_word, min(start_char) AS start_char, max(end_char) AS end_char FROM s GROUP BY doc_id, island
 """

@@ -4,17 +4,21 @@ Pages of a host are aligned with the host's pivot page by simple tree matching:
 tags that keeps parents and the order of siblings. Each text node gets the slot of the pivot node that it is matched with;
 what has no counterpart gets a slot named by its nearest matched ancestor and the tags between. A value that recurs in its
 slot on enough pages of the host is constant and becomes template; all other values fill varying slots and are content.
+Pages are counted by what else they hold: near copies count once on small hosts, and elsewhere about once, by a weighted
+min-hash of the page's text.
 Pages never meet in one place: alignments are counted as (host, slot, value), and only the recurring values go back.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,8 +26,13 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-#: A value is constant from this share of the pages that have its slot, and from two different pages, on.
+#: A value is constant where it recurs on significantly more than this share of the differing pages that have its slot.
 CONSTANT_SHARE = 0.05
+#: The chance, by the Chernoff bound, of so many recurrences at that share. Two of two pages pass, two of three don't.
+SIGNIFICANCE = 0.01
+#: Pages of hosts of up to so many are compared in pairs; from this share of their words in common on, they are near copies.
+SMALL_HOST = 8
+COPY_SHARE = 0.5
 #: Templates below this size are broadcast to the pages; larger ones are joined by host.
 BROADCAST_BYTES = 64 << 20
 SLICE = 4 << 20
@@ -263,6 +272,30 @@ def value_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def sketch(values: list[int], words: list[int]) -> int | None:
+    """The hash of one of a page's texts, drawn by number of words: two pages agree with the share of words in common."""
+    if not values:
+        return None
+    v = np.array(values, np.int64)
+    x = v.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return int(v[np.argmin(-np.log((x.astype(np.float64) + 1) / 2.0**64) / np.array(words))])
+
+
+def families(pages: list[dict[int, int]]) -> list[int | None]:
+    """The first near copy, by chains of pairs, of each page of value: words; None for a page without text."""
+    of: list[int | None] = [i if p else None for i, p in enumerate(pages)]
+    for j, b in enumerate(pages):
+        for i, a in enumerate(pages[:j]):
+            if a and b and of[i] != of[j]:
+                both = sum(w for v, w in a.items() if v in b)
+                if both >= COPY_SHARE * (sum(a.values()) + sum(b.values()) - both):
+                    low, high = sorted((of[i], of[j]))
+                    of = [low if x == high else x for x in of]
+    return of
+
+
 def _pages(pages: DataFrame) -> DataFrame:
     pages = K.only(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -272,55 +305,62 @@ def _pages(pages: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
     """(host, pivot, constants): the layout of each host's pivot and its constant (slot, value hash) pairs.
 
-    The pivot is the page whose number of nodes is nearest to the host's median, the smallest page_id of equals. A value is
-    counted once a page; it is constant if it is found on two different pages and on share of the pages with its slot.
+    The pivot is the page whose number of nodes is nearest to the host's median, the smallest page_id of equals. Near copies
+    count as one page: on hosts of up to SMALL_HOST pages by comparing pairs, on others pages count by distinct sketches. A
+    value is constant if n, the count of the pages with it in its slot, is significantly more than share of the count of the
+    pages with the slot, and at least 1 + log2 of the count of the host: passages copied to a few pages are content.
     """
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Aligner()
         for part in K.slices(batches, "html", SLICE):
-            layouts, values, sizes, prints = [], [], [], []
+            layouts, values, words, sizes, drawn = [], [], [], [], []
             for source in part.column(2).to_pylist():
                 kept.renew()
                 page = Page(source or "", kept.shapes)
                 layouts.append(layout(page))
-                values.append([value_hash(t) for t in page.text if t is not None])
+                texts = [t for t in page.text if t is not None]
+                values.append([value_hash(t) for t in texts])
                 sizes.append(len(page.tag))
-                prints.append(value_hash(" ".join(map(str, values[-1]))))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(layouts, pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64())], ["page_id", "host", "layout", "values", "nodes", "print"])
+                words.append([t.count(" ") + 1 for t in texts])
+                drawn.append(sketch(values[-1], words[-1]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(layouts, pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.int32()), pa.array(drawn, pa.int64())], ["page_id", "host", "layout", "values", "words", "nodes", "family"])
 
     known = _pages(pages).where("host is not null and html is not null")
-    outlines = K.materialise(known.mapInArrow(outline, "page_id bigint, host string, layout string, values array<bigint>, nodes int, print bigint"))
-    medians = outlines.groupBy("host").agg(F.percentile_approx("nodes", 0.5, 1000).alias("median"))
-    pivots = outlines.join(medians, "host").groupBy("host").agg(F.min_by("layout", F.struct(F.abs(F.col("nodes") - F.col("median")), "page_id", "layout")).alias("pivot"))
+    outlines = K.materialise(known.mapInArrow(outline, "page_id bigint, host string, layout string, values array<bigint>, words array<int>, nodes int, family bigint"))
+    medians = outlines.groupBy("host").agg(F.percentile_approx("nodes", 0.5, 1000).alias("median"), F.count("*").alias("rows"))
+    pivots = outlines.join(medians, "host").groupBy("host").agg(F.min_by("layout", F.struct(F.abs(F.col("nodes") - F.col("median")), "page_id", "layout")).alias("pivot"), F.first("rows").alias("rows"))
     pivots = K.materialise(pivots)
 
+    def compare(pdf):
+        return pdf[["host", "layout", "values", "pivot"]].assign(family=families([dict(zip(v.tolist(), w.tolist())) for v, w in zip(pdf["values"], pdf["words"])])).astype({"family": "Int64"})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Aligner()
-        for batch in batches:
-            found: dict[tuple, list[int]] = {}
-            for host, text, values, print_, pivot in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for part in K.slices(batches, "layout", SLICE >> 2):
+            found: set[tuple] = set()
+            for host, text, values, pivot, family in zip(*(part.column(k).to_pylist() for k in range(5))):
                 kept.renew()
                 shape, tags, parents = tree(text, kept.shapes)
                 names = slots(shape, tags, parents, kept.pivot(pivot), kept.shapes)
-                seen = {(host, s, v) for s, v in zip(names, values)} | {(host, s, None) for s in names}
-                for key in seen:
-                    got = found.get(key)
-                    if got is None:
-                        found[key] = [1, print_, print_]
-                    else:
-                        got[0] += 1
-                        got[1], got[2] = min(got[1], print_), max(got[2], print_)
-            if found:
-                keys, sums = list(zip(*found)), list(zip(*found.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], ["host", "slot", "value", "n", "low", "high"])
-
-    aligned = outlines.select("host", "layout", "values", "print").join(pivots, "host").mapInArrow(count, "host string, slot string, value bigint, n bigint, low bigint, high bigint")
-    counts = K.materialise(aligned.groupBy("host", "slot", "value").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high"))
-    totals = counts.where("value is null").select("host", "slot", F.col("n").alias("total"))
-    constant = counts.where("value is not null").join(totals, ["host", "slot"]).where(F.col("n") >= share * F.col("total"))
+                found.add((host, None, None, family))
+                found.update((host, s, v, family) for s, v in zip(names, values))
+                found.update((host, s, None, family) for s in names)
+            keys = list(zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int64()), pa.array(keys[3], pa.int64())], ["host", "slot", "value", "family"])
+
+    ready = outlines.where("family is not null").join(pivots, "host")
+    small = ready.where(F.col("rows") <= SMALL_HOST).groupBy("host").applyInPandas(compare, "host string, layout string, values array<bigint>, pivot string, family bigint")
+    ready = ready.where(F.col("rows") > SMALL_HOST).select("host", "layout", "values", "pivot", "family").unionAll(small)
+    aligned = ready.mapInArrow(count, "host string, slot string, value bigint, family bigint")
+    counts = K.materialise(aligned.groupBy("host", "slot", "value").agg(F.count_distinct("family").alias("n")).where("n > 1"))
+    hosts = counts.where("slot is null").select("host", F.col("n").alias("pages"))
+    totals = counts.where("slot is not null and value is null").select("host", "slot", F.col("n").alias("total")).join(hosts, "host")
+    q = F.least(F.col("n") / F.col("total"), F.lit(1.0))
+    excess = q * F.log(q / share) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    constant = counts.where("value is not null").join(totals, ["host", "slot"]).where((q > share) & (F.col("total") * excess >= -math.log(SIGNIFICANCE)) & (F.col("n") >= 1 + F.log2("pages")))
     listed = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "value")).alias("constants"))
-    return pivots.join(listed, "host", "left")
+    return pivots.drop("rows").join(listed, "host", "left")
 
 
 def extract(pages: DataFrame, share: float = CONSTANT_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -269,6 +269,24 @@ def test_wrapper(spark):
     assert {tuple(r) for r in html_extract.extract(df, broadcast_bytes=0).collect()} == {tuple(r) for r in html_extract.extract(df).collect()}
 
 
+@pytest.mark.parametrize("copies", [2, 4])
+def test_copied_articles_are_content(spark, copies):
+    """Copies of an article under their own navigation on a small host keep it; what all pages share still goes."""
+    own = random.Random(copies)
+    words = lambda n: " ".join(own.choice("abcdefgh") + str(own.randrange(9000)) for _ in range(n))
+    article = [words(30) for _ in range(5)]
+
+    def page(k):
+        nav = "".join(f"<li>{words(1)}</li>" for _ in range(6))
+        body = "".join(f"<p>{p}</p>" for p in (article if k < copies else [words(30) for _ in range(5)]))
+        return f"<html><body><ul>{nav}</ul><article>{body}</article><footer>&copy; Some Site</footer></body></html>"
+
+    df = spark.createDataFrame([(k, f"https://example.org/{k}", page(k)) for k in range(12)], "page_id bigint, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert r.n_template == 1 and "Some Site" not in r.content
+        assert r.page_id >= copies or all(p in r.content for p in article)
+
+
 # 9
 
 

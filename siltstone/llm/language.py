@@ -23,8 +23,8 @@ WIDTH = BIGRAMS + TRIGRAMS
 CENTROIDS = 4
 #: Labelled rows of each language that k-means sees at most.
 FIT_PER_LANGUAGE = 1500
-#: Share of the lowest cosine that calibration saw for the language and length; below it a document is rejected.
-REJECT_SHARE = 0.7
+#: Share of the language's own texts of a length that calibration puts below the floor, under which a document is rejected.
+FLOOR_QUANTILE = 0.001
 #: No text is held to a higher calibrated cosine than this: long texts that mix languages stay.
 HIGHEST_FLOOR = 0.5
 _KINDS = 91
@@ -123,20 +123,24 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int =
         texts = pdf.sort_values(["h", "text"])["text"].iloc[:per_language].to_list()
         counts = [gram_counts(pa.array(texts[at : at + 128], pa.string())) for at in range(0, len(texts), 128)]
         x = weigh(np.concatenate(counts), idf)
-        x = x[x.any(axis=1)]
+        has = x.any(axis=1)
+        x, texts = x[has], [t for t, h in zip(texts, has.tolist()) if h]
         if not len(x):
             return pd.DataFrame({"lang": [], "kind": [], "k": [], "value": []})
         c = cluster(x, centroids)
         floors = np.full(32, np.nan)
         lowest: dict[int, list[float]] = {}
-        pieces = [t[at : at + n] for t in texts[:400] for n in (6, 12, 24, 48, 96, 192, 384, 768, 1536, 4096) for at in (0, len(t) // 2)] + texts
-        for at in range(0, len(pieces), 128):
-            counts = gram_counts(pa.array(pieces[at : at + 128], pa.string()))
-            best, size = (weigh(counts, idf) @ c.T).max(axis=1), length_class(counts)
-            for s, b in zip(size.tolist(), best.tolist()):
-                lowest.setdefault(s, []).append(b)
+        for fold in (0, 1):  # each half of the texts against centroids of the other
+            apart = cluster(x[1 - fold :: 2], centroids) if len(x) > 1 else c
+            own = texts[fold::2]
+            pieces = [t[at : at + n] for t in own[:200] for n in (6, 12, 24, 48, 96, 192, 384, 768, 1536, 4096) for at in (0, len(t) // 2)] + own
+            for at in range(0, len(pieces), 128):
+                counts = gram_counts(pa.array(pieces[at : at + 128], pa.string()))
+                best, size = (weigh(counts, idf) @ apart.T).max(axis=1), length_class(counts)
+                for s, b in zip(size.tolist(), best.tolist()):
+                    lowest.setdefault(s, []).append(b)
         for s, values in lowest.items():
-            floors[s] = np.quantile(values, 0.001)
+            floors[s] = np.quantile(values, FLOOR_QUANTILE)
         known = np.flatnonzero(~np.isnan(floors))
         floors = np.minimum(np.interp(np.arange(32), known, floors[known]), HIGHEST_FLOOR)
         return pd.DataFrame({"lang": key[0], "kind": ["centroid"] * len(c) + ["floor"], "k": range(len(c) + 1), "value": [*c.astype(np.float32), floors.astype(np.float32)]})
@@ -154,7 +158,7 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int =
     return {"langs": langs, "of": np.array(of, np.int64), "centroids": np.array(c, np.float32).reshape(-1, WIDTH), "floors": floors, "idf": idf}
 
 
-def judge(column: pa.Array, model: dict, share: float = REJECT_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the language, cosine, accepted) of each text."""
     counts = gram_counts(column)
     if not len(model["langs"]):
@@ -162,7 +166,7 @@ def judge(column: pa.Array, model: dict, share: float = REJECT_SHARE) -> tuple[n
     cosine = weigh(counts, model["idf"]) @ model["centroids"].T
     best = cosine.argmax(axis=1)
     lang, top = model["of"][best], cosine.max(axis=1).astype(np.float64)
-    return lang, top, (counts.sum(axis=1) > 0) & (top >= share * model["floors"][lang, length_class(counts)])
+    return lang, top, (counts.sum(axis=1) > 0) & (top >= model["floors"][lang, length_class(counts)])
 
 
 def _judged(docs: DataFrame, model: dict, extra: bool) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontaminate, html_extract, language, line_dedup, near_dedup, quality, secret_scan, textkit, top_k, toxicity
 
@@ -104,6 +105,15 @@ def test_language_held_out(spark, docs):
     assert all(r.rejected for r in language.identify(strange, model).collect())
 
 
+@pytest.mark.parametrize("out", ["de", "es", "fr"])
+def test_language_left_out(spark, out):
+    """A language without labels is rejected. English isn't tried: README names it as open."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs.where("pmod(xxhash64(text), 2) = 0").where(F.col("lang") != out))
+    held = docs.where("pmod(xxhash64(text), 2) = 1").where(F.col("lang") == out)
+    assert language.identify(held, model).where("not rejected").count() < 0.03 * held.count()
+
+
 def test_language_nearest_centroid(docs):
     """The vectorised judge against a loop over the model's centroids."""
     model = language.fit(docs)

@@ -365,7 +365,7 @@ def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def codec_trial_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.trial_sizes(S.table(spark, sf_dir, "benchmark").withColumn("content", C.utf8(F.col("text"))), ["item_id"], "content")
+    return routing.trial_sizes(S.documents(spark, sf_dir), ["doc_id"], "content")
 
 
 @_query()
@@ -412,8 +412,8 @@ def solid_lane_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def mutation_fuzz_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = routing.encode_blocks(S.table(spark, sf_dir, "benchmark").withColumn("content", C.utf8(F.col("text"))), ["item_id"], "content", "research")
-    return routing.fuzz(coded, "item_id", 16)
+    coded = routing.encode_blocks(S.documents(spark, sf_dir), ["doc_id"], "content", "research")
+    return routing.fuzz(coded, "doc_id", 16)
 
 
 @_query("""

@@ -49,6 +49,12 @@ def test_runs(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
+def test_codec_trials_cover_documents(spark, small):
+    ids = [r.doc_id for r in S.table(spark, small, "documents").select("doc_id").collect()]
+    assert sorted(r.doc_id for r in catalogue.codec_trial_sizes(spark, small).collect()) == sorted(ids)
+    assert catalogue.mutation_fuzz_summary(spark, small).agg(F.sum("n")).first()[0] == 16 * len(ids)
+
+
 def test_entry(spark):
     assert entry.entry(spark).first().logical_count > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) == len(set(entry.queries()))

@@ -13,8 +13,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Domain of the table of gear values (bytes), so that cuts agree with other writers of this family of formats.
-GEAR_DOMAIN = bytes.fromhex("4d6f736169632d476561722d76312f")
+#: Domain of the table of gear values.
+GEAR_DOMAIN = b"siltstone/gear/1/"
 WORK_BYTES = 4 << 20
 STANDARD, DELTA4, HIGH = 0, 1, 2
 LANES = ("standard", "delta4", "high_entropy")
@@ -148,7 +148,7 @@ def sampled_lane(block: bytes) -> int:
 @cache
 def gear(average: int, domain: bytes = GEAR_DOMAIN) -> np.ndarray:
     """The gear value of each byte, below average."""
-    return np.array([int.from_bytes(hashlib.sha256(domain + bytes((7, b))).digest()[:8], "big") % average for b in range(256)], np.int64)
+    return np.array([int.from_bytes(hashlib.sha256(domain + bytes((b,))).digest()[:4], "big") % average for b in range(256)], np.int64)
 
 
 def check_sizes(least: int, average: int, most: int) -> None:

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as N
+from ..sources.shared import kept
 
 LEAST, AVERAGE, MOST = 16 << 10, 64 << 10, 256 << 10
 
@@ -47,24 +49,31 @@ def content_chunks(entries: DataFrame, key: str, content: str, least: int = LEAS
 
 
 def canonical(occurrences: DataFrame, order: list[str], same: list[str] | None = None) -> DataFrame:
-    """occurrences with first, the struct of the order columns of the first occurrence with the same digest and size.
+    """occurrences with first, the struct of the order columns of the first occurrence with the same digest and size; nulls
+    are the same as nulls.
 
     The minimum is aggregated before it is joined back, so that a chunk that occurs everywhere doesn't gather in one task.
     """
     same = same or ["digest", "size"]
     firsts = occurrences.groupBy(*same).agg(F.min(F.struct(*order)).alias("first"))
-    return occurrences.join(firsts, same)
+    keys = firsts.select(*(F.col(c).alias(f"_same{k}") for k, c in enumerate(same)), "first")
+    alike = [occurrences[c].eqNullSafe(keys[f"_same{k}"]) for k, c in enumerate(same)]
+    return occurrences.join(keys, alike).select(*(occurrences[c] for c in occurrences.columns), "first")
 
 
 def accounting(occurrences: DataFrame, order: list[str], owner: str, size: str = "size") -> DataFrame:
-    """One row: logical, unique and duplicate counts and bytes saved, and of these what crosses owners."""
-    rows = canonical(occurrences, order, ["digest", size])
-    duplicate = F.col("first") != F.struct(*order)
-    cross = duplicate & (F.col(f"first.{owner}") != F.col(owner))
-    total = lambda cond, value: F.coalesce(F.sum(F.when(cond, value).otherwise(0)), F.lit(0)).cast("bigint")
-    return rows.agg(
-        F.count("*").alias("logical_count"), total(~duplicate, F.lit(1)).alias("unique_count"), total(duplicate, F.lit(1)).alias("duplicate_count"), total(duplicate, F.col(size)).alias("saved_bytes"),
-        total(cross, F.lit(1)).alias("cross_count"), total(cross, F.col(size)).alias("cross_saved_bytes"),
+    """One row: logical, unique and duplicate counts and bytes saved, and of these what crosses owners.
+
+    Content is counted by owner, then over owners: two combined aggregations, whatever occurs how often. Null digests are one
+    content, a null owner is an owner, null sizes count as 0.
+    """
+    owned = occurrences.groupBy("digest", F.coalesce(size, F.lit(0)).alias("size"), owner).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    content = owned.groupBy("digest", "size").agg(F.sum("n").alias("n"), F.min(F.struct("first", "n")).alias("own"))
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+    again, cross = F.col("n") - 1, F.col("n") - F.col("own.n")
+    return content.agg(
+        total(F.col("n")).alias("logical_count"), F.count("*").alias("unique_count"), total(again).alias("duplicate_count"), total(again * F.col("size")).alias("saved_bytes"),
+        total(cross).alias("cross_count"), total(cross * F.col("size")).alias("cross_saved_bytes"),
     )
 
 
@@ -75,16 +84,43 @@ def windowed_dedup(blocks: DataFrame, stream: str, off: str, digest: str, reach:
     return blocks.withColumn("source_off", F.when(F.col(off) - before <= reach, before))
 
 
+def prefix_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with, for each name of sums, the sum of its value column over all rows before in order.
+
+    One shuffle: rows are sorted into ranges, each range sums its own rows as it is written, and the ranges' totals, one row
+    a partition, are summed apart and broadcast. What is summed is what was written, so no second partitioning can
+    disagree. Null values count as 0, null keys come first; rows of equal keys come in any order, each after the others'
+    values. Values are whole numbers.
+    """
+    width = len(rows.columns)
+    base = rows.toDF(*(f"c{k}" for k in range(width)))
+    place = {c: f"c{k}" for k, c in enumerate(rows.columns)}
+    keyed = rows.select("*", *order).toDF(*base.columns, *(f"o{k}" for k in range(len(order))))
+    keys = [f"o{k}" for k in range(len(order))]
+    values = [F.col(place[v]).cast("bigint").alias(f"v{k}") for k, v in enumerate(sums)]
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*base.columns, *values)
+    totals = [f"s{k}" for k in range(len(sums))]
+    schema = T.StructType([*placed.schema.fields[:width], T.StructField("part", T.IntegerType()), *(T.StructField(f"v{k}", T.LongType()) for k in range(len(sums))), *(T.StructField(s, T.LongType()) for s in totals)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, upto = TaskContext.get().partitionId(), np.zeros(len(sums), np.int64)
+        for batch in batches:
+            own = [batch.column(width + k).fill_null(0).to_numpy() for k in range(len(sums))]
+            before = [t + np.cumsum(v) - v for t, v in zip(upto, own)]
+            upto = upto + [int(v.sum()) for v in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, own), *map(pa.array, before)], schema.names)
+
+    local = kept(placed.mapInArrow(run, schema))
+    parts = local.groupBy("part").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(len(sums))))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("part").alias("of"), *(F.coalesce(F.sum(f"v{k}").over(upto), F.lit(0)).alias(f"b{k}") for k in range(len(sums))))
+    out = local.join(F.broadcast(before), F.col("part") == F.col("of"))
+    return out.select(*base.columns, *((F.col(s) + F.col(f"b{k}")).cast("bigint") for k, s in enumerate(totals))).toDF(*rows.columns, *sums.values())
+
+
 def prefix_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """rows with name, the sum of value over all rows before in order: totals of range partitions are summed on their own,
-    so no task sees more than its partition. The order must be total; null values count as 0."""
-    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parted = parted.withColumn("_at", F.struct(*order))
-    totals = parted.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min("_at").alias("_low"))
-    before = totals.select(F.col("_part"), F.coalesce(F.sum("_sum").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    local = parted.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_local")).cast("bigint").alias(name))
+    """rows with name, the sum of value over all rows before in order; see prefix_sums."""
+    return prefix_sums(rows, order, {value: name})
 
 
 def restore(occurrences: DataFrame, unique: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.shared import kept
-from .chunks import prefix_sum
+from .chunks import prefix_sum, prefix_sums
 
 
 def framed(entries: DataFrame, order: str, size: str, frame: int) -> DataFrame:
@@ -60,7 +60,7 @@ def size_violations(entries: DataFrame, key: str, size: str, chunks: DataFrame)
 
 def limit_violations(frames: DataFrame, order: str, size: str, most_bytes: int, most_frames: int) -> DataFrame:
     """Frames at which the running output or the number of frames passes its limit."""
-    summed = prefix_sum(prefix_sum(frames.withColumn("_one", F.lit(1)), [F.col(order)], size, "_bytes"), [F.col(order)], "_one", "_frames")
+    summed = prefix_sums(frames.withColumn("_one", F.lit(1)), [F.col(order)], {size: "_bytes", "_one": "_frames"})
     over = F.when(F.col("_bytes") + F.col(size) > most_bytes, "bytes").when(F.col("_frames") + 1 > most_frames, "frames")
     return _violation(summed.withColumn("_why", over).where("_why is not null"), "limit", F.col(order), F.col("_why"))
 
@@ -119,7 +119,7 @@ def ancestry(processes: DataFrame, root: str = "pid", parent: str = "ppid") -> D
     while True:
         far = known.select(F.col("pid").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
         longer = known.join(far, "ancestor").select("pid", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        known = kept(longer.groupBy("pid", "ancestor").agg(F.min("depth").alias("depth")))
+        known = kept(longer.groupBy("pid", "ancestor").agg(F.min("depth").alias("depth")), before=known)
         before, size = size, known.count()
         if size == before:
             return known

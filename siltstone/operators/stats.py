@@ -15,18 +15,24 @@ from ..functions import columns as C
 RESAMPLES = 10_000
 CONFIDENCE = 0.95
 MEASURED = 11
-#: Domains of case identities and of the bootstrap's index stream (bytes), so that digests agree with other tools.
-CASE_DOMAIN = bytes.fromhex("6d6f736169632d636f6d70657469746976652d636173652d69642d7631").decode()
-STREAM_DOMAIN = bytes.fromhex("6d6f736169632d636f6d70657469746976652d626f6f7473747261702d73747265616d2d7631").decode()
-CASE_PREFIX = bytes.fromhex("6d73632d636173652d76312d").decode()
+#: Domains of case identities and of the bootstrap's index stream.
+CASE_DOMAIN = "siltstone/case/1"
+STREAM_DOMAIN = "siltstone/bootstrap-stream/1"
+CASE_PREFIX = "case-1-"
 CASE_FIELDS = ("contract_sha256", "corpus_manifest_sha256", "corpus_id", "input_sha256", "input_bytes", "thread_count", "metric")
 
 
 def median_mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., n, median, mad): exact medians of groups and the unscaled median absolute deviation from them."""
-    medians = rows.groupBy(*by).agg(F.count(value).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median"))
-    near = rows.join(medians, by)
-    return near.groupBy(*by, "n", "median").agg(F.expr(f"percentile(abs({value} - median), 0.5)").alias("mad"))
+    """(by..., n, median, mad): exact medians of groups and the unscaled median absolute deviation from them.
+
+    Rows are counted by value first, so what is shuffled and joined are distinct values. Nulls are a group of by; null values
+    aren't counted, and a group of nothing else has null results.
+    """
+    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    medians = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n"), F.expr("percentile(_v, 0.5, _n)").alias("median"))
+    keys = medians.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), "n", "median")
+    near = counts.join(keys, [counts[c].eqNullSafe(keys[f"_by{k}"]) for k, c in enumerate(by)])
+    return near.groupBy(*by, "n", "median").agg(F.expr("percentile(abs(_v - median), 0.5, _n)").alias("mad"))
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -80,14 +86,21 @@ def indices(material: bytes, count: int, below: int) -> np.ndarray:
     """The first count indices: 64-bit words of SHA-256 over material and a counter, those beyond the last multiple of
     below rejected, the rest taken modulo below."""
     limit = (1 << 64) - (1 << 64) % below
-    head, out, counter = hashlib.sha256(material), [], 0
-    while len(out) < count:
-        block = head.copy()
-        block.update(counter.to_bytes(8, "big"))
-        counter += 1
-        words = np.frombuffer(block.digest(), ">u8")
-        out.extend(int(w) % below for w in words.tolist() if w < limit)
-    return np.array(out[:count], np.int64)
+    head, out, counter, have = hashlib.sha256(material), [], 0, 0
+    while have < count:
+        n = max(64, (count - have) // 4 + 1)
+        digests = bytearray()
+        for k in range(counter, counter + n):
+            block = head.copy()
+            block.update(k.to_bytes(8, "big"))
+            digests += block.digest()
+        counter += n
+        words = np.frombuffer(bytes(digests), ">u8").astype(np.uint64)
+        if limit < 1 << 64:
+            words = words[words < np.uint64(limit)]
+        out.append((words % np.uint64(below)).astype(np.int64))
+        have += len(words)
+    return np.concatenate(out)[:count] if out else np.zeros(0, np.int64)
 
 
 def bootstrap(cases: DataFrame, key: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE) -> DataFrame:

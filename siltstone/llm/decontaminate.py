@@ -9,12 +9,16 @@ suffix positions. Occurrences that touch or overlap merge into removal spans.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 
@@ -24,6 +28,7 @@ SAMPLE_RATE = 16
 #: Benchmark text that one pass over the corpus searches for; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, start_char bigint, end_char bigint"
+_word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -101,18 +106,19 @@ class FMIndex:
         self.marks_before = np.r_[0, np.cumsum(self.marked)]
         self.samples = sa[self.marked]
 
-    def count(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrase, first row, row after the last) of the phrases (rows of equal length) that occur."""
-        which = np.arange(len(phrases))
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        for k in reversed(range(phrases.shape[1])):
-            symbol = phrases[which, k]
+    def count(self, sequence: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, first row, row after the last) of the phrases that occur: phrase i is sequence[starts[i] :][:length]."""
+        last = sequence[starts + length - 1].astype(np.int64)
+        which = np.flatnonzero(self.before[last] < self.before[last + 1])
+        lo, hi = self.before[last[which]], self.before[last[which] + 1]
+        for k in reversed(range(length - 1)):
+            if not len(which):
+                break
+            symbol = sequence[starts[which] + k].astype(np.int64)
             lo = self.before[symbol] + self.tree.rank(symbol, lo)
             hi = self.before[symbol] + self.tree.rank(symbol, hi)
             keep = lo < hi
             which, lo, hi = which[keep], lo[keep], hi[keep]
-            if not len(which):
-                break
         return which, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -129,26 +135,47 @@ class FMIndex:
         return found
 
 
-def phrase_table(texts: list[str | None], words: int = PHRASE_WORDS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(sorted word hashes, arrays of distinct phrases as symbols): every run of so many words of an item, or the whole
-    item where it is shorter. An item that is null or without words has none."""
+class Phrases(NamedTuple):
+    """Phrases of a block of the benchmark: sorted hashes of its words, its words as symbols, and by length where phrases
+    begin. Windows overlap in the sequence, so a block takes about 16 bytes a word."""
+
+    known: np.ndarray
+    sequence: np.ndarray
+    groups: list[tuple[int, np.ndarray]]
+
+
+def phrase_table(texts: list[str | None], words: int = PHRASE_WORDS) -> Phrases:
+    """Every run of so many words of an item, or the whole item where it is shorter; an item that is null or without words
+    has none. Phrases whose words hash alike are equal and listed once."""
     hashes, _, _, first = K.word_hashes(pa.array(texts, pa.string()))
     known = np.unique(hashes)
-    symbols = K.lookup(hashes, known) + 2  # 0 ends a text, 1 is any other word
-    by_length: dict[int, list[np.ndarray]] = {}
-    for a, b in zip(first[:-1], first[1:]):
-        n = min(words, int(b - a))
+    sequence = (K.lookup(hashes, known) + 2).astype(np.int32)  # 0 ends a text, 1 is any other word
+    size = np.diff(first)
+    groups = []
+    for n in np.unique(np.minimum(size, words)).tolist():
         if n:
-            by_length.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(symbols[a:b], n))
-    return known, [np.unique(np.concatenate(x), axis=0) for _, x in sorted(by_length.items())]
-
-
-def shard_spans(texts: pa.Array, known: np.ndarray, phrases: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+            own = first[:-1][np.minimum(size, words) == n]
+            many = (size[np.minimum(size, words) == n] - n + 1 if n == words else np.ones(len(own), np.int64)).astype(np.int64)
+            starts = np.repeat(own - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))
+            key = np.zeros(len(starts), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    key = K.mix(key * np.uint64(K.PRIME) + sequence[starts + k].astype(np.uint64))
+            order = np.argsort(key, kind="stable")
+            starts, key = starts[order], key[order]
+            alike = key[1:] == key[:-1]
+            for k in range(n):
+                alike &= sequence[starts[1:] + k] == sequence[starts[:-1] + k]
+            groups.append((n, starts[np.r_[True, ~alike]].astype(np.int32)))
+    return Phrases(known, sequence, groups)
+
+
+def shard_spans(texts: pa.Array, phrases: Phrases) -> list[tuple[int, int, int, int, int]]:
     """Merged removal spans of a shard: (text, first word, word after the last, first character, character after)."""
     hashes, start, end, first = K.word_hashes(texts)
-    if not len(hashes) or not phrases:
+    if not len(hashes) or not phrases.groups:
         return []
-    symbols = K.lookup(hashes, known) + 2
+    symbols = K.lookup(hashes, phrases.known) + 2
     other = symbols == 1
     text_end = np.zeros(len(hashes) + 1, bool)
     text_end[first] = True
@@ -162,14 +189,14 @@ def shard_spans(texts: pa.Array, known: np.ndarray, phrases: list[np.ndarray]) -
     sequence[place] = symbols[where]
     word_of = np.full(len(sequence), -1, np.int64)
     word_of[place] = where
-    index = FMIndex(sequence, len(known) + 2)
+    index = FMIndex(sequence, len(phrases.known) + 2)
     spans = []
-    for group in phrases:
-        _, lo, hi = index.count(group)
+    for length, starts in phrases.groups:
+        _, lo, hi = index.count(phrases.sequence, starts, length)
         if len(lo):
             rows = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
             at = word_of[index.locate(rows)]
-            spans.append(np.stack([at, at + group.shape[1]], axis=1))
+            spans.append(np.stack([at, at + length], axis=1))
     if not spans:
         return []
     spans = np.concatenate(spans)
@@ -201,69 +228,103 @@ def _blocks(items: list[tuple], block_bytes: int) -> Iterator[list[str]]:
         yield block
 
 
+def merged(spans: list[tuple]) -> list[tuple]:
+    """(first word, word after, first character, character after) spans of one text; those that touch or overlap in words
+    become one."""
+    out: list[list] = []
+    for a, b, c, d in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], d)
+        else:
+            out.append([a, b, c, d])
+    return [tuple(x) for x in out]
+
+
+def _searched(rows: DataFrame, text: str, benchmark: DataFrame, finish: Callable[[list[pa.Array], dict[int, list[tuple]]], pa.RecordBatch], schema: T.StructType, phrase_words: int, shard_bytes: int, block_bytes: int) -> DataFrame | None:
+    """What finish makes of each shard's columns and of the merged removal spans of its rows, by row; None if the benchmark has
+    no phrase. Spans are found and merged within a row, whatever its id. A benchmark of several blocks takes a pass for each,
+    with the rows and their spans so far kept in between."""
+    at, width = rows.columns.index(text), len(rows.columns)
+    between = T.StructType([*rows.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    items = ((r[0],) for r in K.only(benchmark, "text").where("text is not null").toLocalIterator())
+    tables = (x for x in (phrase_table(b, phrase_words) for b in _blocks(items, block_bytes)) if x.groups)
+    phrases, first, before = next(tables, None), True, None
+    if phrases is None:
+        return None
+    while True:
+        following = next(tables, None)
+
+        def search(batches, phrases=phrases, again=not first, last=following is None):
+            for part in K.slices(batches, at, shard_bytes):
+                found: dict[int, list[tuple]] = {}
+                if again:
+                    found = {t: [tuple(x) for x in own] for t, own in enumerate(part.column(width).to_pylist()) if own}
+                for t, *span in shard_spans(part.column(at), phrases):
+                    found.setdefault(t, []).append(tuple(span))
+                found = {t: merged(own) if again else own for t, own in sorted(found.items())}
+                columns = part.columns[:width]
+                yield finish(columns, found) if last else pa.RecordBatch.from_arrays([*columns, pa.array([found.get(t) for t in range(part.num_rows)], pa.list_(pa.list_(pa.int64())))], between.names)
+
+        if following is None:
+            return rows.mapInArrow(search, schema)
+        rows = before = K.materialise(rows.mapInArrow(search, between), before)
+        phrases, first = following, False
+
+
 def removal_spans(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per merged span of benchmark text in docs: doc_id, words [start_word, end_word), characters [start_char, end_char).
 
     A phrase is any phrase_words successive words of an item, or a whole shorter item. Null or wordless texts and items
     match nothing; an empty table on either side gives no rows; repeated rows and ids give their spans once per row, and
     a null doc_id stays null. Extra columns are ignored. The benchmark is read to the driver item by item, and searched
-    for in blocks of block_bytes, a pass over the corpus each, so its size is bounded by passes, not by memory; spans of
-    different blocks are merged again.
+    for in blocks of block_bytes, a pass over the corpus each, so its size is bounded by passes, not by memory. How many
+    blocks there are doesn't change the result.
     """
     docs = K.only(docs, "doc_id", "text")
     texts = docs.select(K.integer_id(docs, "doc_id"), F.col("text").cast("string").alias("text"))
-    items = ((r[0],) for r in K.only(benchmark, "text").where("text is not null").toLocalIterator())
-    found, passes = None, 0
-    for block in _blocks(items, block_bytes):
-        known, phrases = phrase_table(block, phrase_words)
-        if not phrases:
-            continue
-
-        def search(batches, known=known, phrases=phrases):
-            for part in K.slices(batches, "text", shard_bytes):
-                spans = shard_spans(part.column(1), known, phrases)
-                if spans:
-                    rows = np.array(spans, np.int64)
-                    ids = part.column(0).take(pa.array(rows[:, 0]))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(rows[:, k]) for k in range(1, 5))], ["doc_id", "start_word", "end_word", "start_char", "end_char"])
-
-        one = texts.mapInArrow(search, SPANS)
-        found, passes = (one if found is None else found.unionAll(one)), passes + 1
-    if found is None:
-        return docs.sparkSession.createDataFrame([], SPANS)
-    return merge_spans(found) if passes > 1 else found
-
-
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Spans of a document that touch or overlap in words become one."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
-    reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.sum(F.when(reach.isNull() | (F.col("start_word") > reach), 1).otherwise(0)).over(w)
-    return spans.withColumn("island", opened).groupBy("doc_id", "island").agg(*(f(c).alias(c) for f, c in ((F.min, "start_word"), (F.max, "end_word"), (F.min, "start_char"), (F.max, "end_char")))).drop("island")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    schema = T.StructType([T.StructField(x.split()[0], T.LongType()) for x in SPANS.split(", ")])
+
+    def listed(columns, found):
+        who = [t for t, own in found.items() for _ in own]
+        spans = np.array([x for own in found.values() for x in own], np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([columns[0].take(pa.array(who, pa.int64())), *(pa.array(spans[:, k]) for k in range(4))], schema.names)
+
+    out = _searched(texts, "text", benchmark, listed, schema, phrase_words, shard_bytes, block_bytes)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every removal span cut from text and n_chars set anew; a document left without a word goes.
 
-    A document without a match keeps its text as it is, null or empty too. Rows that share a doc_id lose the union of
-    their spans only if their texts are equal; give ids that are unique. Other columns pass through.
+    A row loses its own spans only, also where its id is null or shared; nothing is joined or shuffled. A document without a
+    match keeps its text as it is, null or empty too. Other columns pass through.
     """
-    spans = removal_spans(docs, benchmark, **options)
-    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_cuts"))
-    base, name = K.numbered(docs)
-    text = base[name["text"]].cast("string")
-    joined = base.join(cuts, base[name["doc_id"]].cast("bigint").eqNullSafe(cuts["_cut_id"]), "left")
-    kept = F.aggregate(
-        F.col("_cuts"), F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, c: F.struct(F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (c["start_char"] - acc["at"]).cast("int"))).alias("text"), F.greatest(acc["at"], c["end_char"]).alias("at")),
-        lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    cut = F.when(F.col("_cuts").isNull(), text).otherwise(kept)
-    out = joined.select("*", cut.alias("_left")).where("_cuts is null or _left rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
-    size = F.when(F.col("_cuts").isNull(), F.col(name["n_chars"]).cast("bigint")).otherwise(F.length("_left").cast("bigint")) if "n_chars" in name else None
-    return out.select(*(F.col("_left") if c == name["text"] else size if c == name.get("n_chars") else F.col(c) for c in base.columns)).toDF(*docs.columns)
+    apart, name = K.numbered(docs)
+    kinds = {name["text"]: "string"} | ({name["n_chars"]: "bigint"} if "n_chars" in name else {})
+    base = apart.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in apart.columns))
+    places = base.columns
+    at, size = places.index(name["text"]), places.index(name["n_chars"]) if "n_chars" in name else None
+
+    def cut(columns, found):
+        columns = list(columns)
+        if found:
+            left = []
+            for text, spans in zip(columns[at].take(pa.array(list(found))).to_pylist(), found.values()):
+                edges = [0, *(e for x in spans for e in x[2:4]), len(text)]
+                left.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            hit = np.zeros(len(columns[at]), bool)
+            hit[list(found)] = True
+            columns[at] = pc.replace_with_mask(columns[at], pa.array(hit), pa.array(left, columns[at].type))
+            if size is not None:
+                columns[size] = pc.replace_with_mask(columns[size], pa.array(hit), pa.array([len(x) for x in left], pa.int64()))
+            stays = np.ones(len(hit), bool)
+            stays[[t for t, x in zip(found, left) if not _word.search(x)]] = False
+            if not stays.all():
+                columns = [c.filter(pa.array(stays)) for c in columns]
+        return pa.RecordBatch.from_arrays(columns, places)
+
+    out = _searched(base, name["text"], benchmark, cut, base.schema, phrase_words, shard_bytes, block_bytes)
+    return (base if out is None else out).toDF(*docs.columns)
 
 
 _leads = ", ".join(f"lead(word, {i}) OVER w AS w{i}, lead(CAST(upto AS BIGINT), {i}) OVER w AS e{i}" for i in range(1, PHRASE_WORDS))

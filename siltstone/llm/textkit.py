@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept, mark, new_folder, release, remove, shared_dir  # noqa: F401
+
 CHUNK = 1 << 20
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -25,27 +27,10 @@ _is_word[128:] = True
 _powers: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage is cut and a lost executor loses nothing.
-
-    A user-given session folder is respected. Column names may repeat in the input's plan but not in df itself.
-    """
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage is cut and a lost executor loses nothing. before, a
+    table materialised in an earlier round that nothing else reads, is removed."""
+    return kept(df, before)
 
 
 def only(rows: DataFrame, *names: str) -> DataFrame:

@@ -79,6 +79,23 @@ def test_decontamination_brute(spark, docs, texts, small):
         assert {tuple(r) for r in decontaminate.removal_spans(docs, bench, **options).collect()} == want
 
 
+def test_decontaminate_rows(spark):
+    """A row loses its own spans only: rows of one id, or of none, aren't cut by each other's, for one block and for many."""
+    passage, other = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta"
+    clean = "this long text has nothing of the kind in it and its middle must stay as it is, to the last character of all"
+    data = [(None, f"before {passage} after"), (None, clean), (1, f"{other}, and {passage}!"), (1, clean), (2, passage), (3, f"é {other} é {other} é")]
+    want = sorted([(None, "before  after"), (None, clean), (1, ", and !"), (1, clean), (3, "é  é  é")], key=repr)
+    df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    bench = spark.createDataFrame([(0, passage), (1, other)], "item_id bigint, text string")
+    spans = []
+    for options in ({}, {"block_bytes": 1}, {"shard_bytes": 1}):
+        got = decontaminate.decontaminate(df, bench, **options).collect()
+        assert sorted([(r.doc_id, r.text) for r in got], key=repr) == want and all(r.n_chars == len(r.text) for r in got)
+        spans.append(sorted(map(tuple, decontaminate.removal_spans(df, bench, **options).collect()), key=repr))
+        assert "Exchange" not in decontaminate.decontaminate(df, bench, **options)._jdf.queryExecution().executedPlan().toString()
+    assert spans[0] == spans[1] == spans[2] and len(spans[0]) == 6
+
+
 def test_fm_index():
     for n, kinds in ((1, 2), (50, 2), (400, 3), (2000, 9)):
         text = np.array([rng.randrange(1, kinds) for _ in range(n)] + [0], np.int64)
@@ -86,7 +103,7 @@ def test_fm_index():
         assert [tuple(text[i:]) for i in sa] == sorted(tuple(text[i:]) for i in range(n + 1))
         index = decontaminate.FMIndex(text, kinds, 4)
         found = [tuple(rng.randrange(1, kinds) for _ in range(3)) for _ in range(20)]
-        which, lo, hi = index.count(np.array(found))
+        which, lo, hi = index.count(np.array(found).ravel(), np.arange(20) * 3, 3)
         got = {w: sorted(index.locate(np.arange(a, b)).tolist()) for w, a, b in zip(which.tolist(), lo.tolist(), hi.tolist())}
         for k, p in enumerate(found):
             assert got.get(k, []) == [i for i in range(n - 2) if tuple(text[i : i + 3]) == p]

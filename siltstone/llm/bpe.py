@@ -24,8 +24,10 @@ from . import textkit as K
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Text that one batch encodes; more text shares more pre-tokens and steps.
-BATCH_BYTES = 8 << 20
+#: Text that one batch encodes.
+BATCH_BYTES = 2 << 20
+#: Distinct pre-tokens, and characters of them, beyond which a worker forgets those that it has merged.
+KEPT_WORDS, KEPT_CHARS = 1 << 17, 4 << 20
 END = -1
 
 
@@ -66,6 +68,18 @@ class RankQueue:
         return found, self.buckets.pop(found)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they first come; fresh has those that came since it was last emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Tokenizer:
     """Merge ranks of a byte-level BPE vocabulary; a token's id is its rank."""
 
@@ -88,34 +102,34 @@ class Tokenizer:
         bits = max(8, int(len(keys) * 4).bit_length())
         self.shift = np.uint64(64 - bits)
         # open addressing with linear probing, built once
-        self.slots, self.slot_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        self.slots, self.slot_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
         home = self._home(keys)
-        self.longest = 1
         for key, rank, at in zip(keys.tolist(), self.pair_rank.tolist(), home.tolist()):
-            step = 1
             while self.slots[at] >= 0:
                 at = (at + 1) & (len(self.slots) - 1)
-                step += 1
             self.slots[at], self.slot_rank[at] = key, rank
-            self.longest = max(self.longest, step)
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.begin = np.r_[0, np.cumsum(lengths)]
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.chars = Numbers(), 0
+        self.merged, self.merged_begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * np.uint64(K.PRIME)) >> self.shift).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair of tokens, -1 where it doesn't merge."""
-        keys = left * self.size + right
+        """Rank of each pair of tokens, -1 where it doesn't merge or where one is no token."""
+        keys = left.astype(np.int64) * self.size + right
+        keys[(left < 0) | (right < 0)] = -2
         at = self._home(keys)
         slot = self.slots[at]
-        out = np.where(slot == keys, self.slot_rank[at], -1)
-        open_ = np.flatnonzero((slot != keys) & (slot >= 0))
-        for _ in range(self.longest - 1):
-            if not len(open_):
-                break
+        out = np.where(slot == keys, self.slot_rank[at], np.int32(-1))
+        open_ = np.flatnonzero((slot != keys) & (slot >= 0) & (keys >= 0))
+        while len(open_):
             at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
             slot = self.slots[at[open_]]
             hit = slot == keys[open_]
@@ -133,49 +147,48 @@ class Tokenizer:
         inside[ends - 1] = False
         token[:n][inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        pair = np.full(n + 1, -1, np.int32)  # the rank of the pair that begins here now; an entry of another rank is stale
         queue = RankQueue(self.size)
 
         def enter(at: np.ndarray) -> None:
-            left, right = token[at].astype(np.int64), token[after[at]].astype(np.int64)
-            ok = (left >= 0) & (right >= 0)
-            at = at[ok]
-            rank = self.ranks(left[ok], right[ok])
+            rank = self.ranks(token[at], token[after[at]])
+            pair[at] = rank
             ok = rank >= 0
             at, rank = at[ok], rank[ok]
-            if not len(at):
+            if len(at) < 2:
+                if len(at):
+                    queue.add(int(rank[0]), at)
                 return
-            if len(at) == 1:
-                queue.add(int(rank[0]), at)
-                return
-            order = np.argsort(rank)
+            order = rank.argsort()
             at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            bounds = [0, *cuts.tolist(), len(at)]
-            for r, a, b in zip(rank[np.r_[0, cuts]].tolist(), bounds[:-1], bounds[1:]):
-                queue.add(r, at[a:b])
+            cuts = (np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                queue.add(int(rank[a]), at[a:b])
 
         everywhere = np.flatnonzero(token[:-1] >= 0).astype(np.int32)
-        for i in range(0, len(everywhere), 1 << 20):
-            enter(everywhere[i : i + (1 << 20)])
+        for i in range(0, len(everywhere), 1 << 18):
+            enter(everywhere[i : i + (1 << 18)])
+        del everywhere
         while (lowest := queue.pop()) is not None:
             rank, held = lowest
             at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = at[pair[at] == rank]
             if len(at) > 1:
-                at = np.unique(at)
-            left, right = token[at].astype(np.int64), token[after[at]].astype(np.int64)
-            fresh = (left >= 0) & (right >= 0)
-            fresh[fresh] = self.ranks(left[fresh], right[fresh]) == rank
-            at = at[fresh]
-            if not len(at):
+                at.sort()
+                step = at[1:] != at[:-1]
+                if not step.all():
+                    at = at[np.concatenate([[True], step])]
+                chained = after[at[:-1]] == at[1:]
+                if chained.any():  # x x x: pairs overlap only where both halves are alike; take every other of a chain
+                    place = np.arange(len(at))
+                    start = np.maximum.accumulate(np.where(np.concatenate([[False], chained]), 0, place))
+                    at = at[(place - start) % 2 == 0]
+            elif not len(at):
                 continue
-            if len(at) > 1:  # x x x: pairs overlap only where both halves are alike; take every other of a chain
-                chained = np.r_[False, after[at[:-1]] == at[1:]]
-                if chained.any():
-                    start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
-                    at = at[(np.arange(len(at)) - start) % 2 == 0]
             gone = after[at]
             new_after = after[gone]
             token[gone] = END - 1  # dead
+            pair[gone] = -1
             token[at] = rank
             after[at] = new_after
             before[new_after] = at
@@ -186,22 +199,26 @@ class Tokenizer:
         return token[:n][alive], np.r_[0, counts[ends]]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of all texts in a row, where each text begins and the end)."""
-        number: dict[str, int] = {}
-        place = number.setdefault
-        find = self.pattern.findall
+        """(tokens of all texts in a row, where each text begins and the end). Pre-tokens that were merged before are looked up."""
+        if len(self.number) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self._forget()
+        place, find = self.number.__getitem__, self.pattern.findall
         ids, sizes = [], []
         for text in texts:
             got = find(text)
-            ids.append(np.fromiter((place(w, len(number)) for w in got), np.int32, len(got)))
+            ids.append(np.fromiter(map(place, got), np.int32, len(got)))
             sizes.append(len(got))
-        words = [w.encode("utf-8", "surrogatepass") for w in number]
-        tokens, begin = self.merge(words)
-        sequence = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        fresh, self.number.fresh = self.number.fresh, []
+        if fresh:
+            self.chars += sum(map(len, fresh))
+            tokens, begin = self.merge([w.encode("utf-8", "surrogatepass") for w in fresh])
+            self.merged_begin = np.r_[self.merged_begin, len(self.merged) + begin[1:]]
+            self.merged = np.r_[self.merged, tokens]
+        begin, sequence = self.merged_begin, np.concatenate(ids) if ids else np.zeros(0, np.int32)
         length = np.diff(begin)[sequence]
         total = np.r_[0, np.cumsum(length)]
         # gather every pre-token's tokens in place
-        out = tokens[np.repeat(begin[:-1][sequence] - total[:-1], length) + np.arange(int(total[-1]))] if len(sequence) else np.zeros(0, np.int32)
+        out = self.merged[np.repeat(begin[:-1][sequence] - total[:-1], length) + np.arange(int(total[-1]))] if len(sequence) else np.zeros(0, np.int32)
         return out, total[np.r_[0, np.cumsum(sizes, dtype=np.int64)]]
 
     def decode(self, tokens: np.ndarray) -> np.ndarray:
@@ -238,17 +255,28 @@ def encode(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYT
     Every text is encoded whole, on its own; repeated rows alike. Columns of docs that are called tokens or n_tokens are
     replaced; all others pass through.
     """
+    return _with_tokens(docs, path, batch_bytes, False)
+
+
+def _with_tokens(docs: DataFrame, path: str, batch_bytes: int, back: bool) -> DataFrame:
+    names = ["tokens", "n_tokens", *["decoded"] * back]
     apart, name = K.numbered(docs)
-    text, kept = name["text"], [i for i, c in enumerate(docs.columns) if c.lower() not in ("tokens", "n_tokens")]
+    text, kept = name["text"], [i for i, c in enumerate(docs.columns) if c.lower() not in names]
     base = apart.select(*(F.col(f"c{i}").cast("string").alias(f"c{i}") if f"c{i}" == text else F.col(f"c{i}") for i in kept))
     at = base.columns.index(text)
-    schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
+    schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), *[T.StructField("decoded", T.StringType())] * back])
 
     def apply(batches):
         for part, tokens in _encoded(batches, at, path, batch_bytes):
-            yield pa.RecordBatch.from_arrays([*part.columns, tokens, tokens.value_lengths()], [*part.schema.names, "tokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*part.columns, tokens, tokens.value_lengths(), *[_texts(tokens, path)] * back], schema.names)
+
+    return base.mapInArrow(apply, schema).toDF(*(docs.columns[i] for i in kept), *names)
+
 
-    return base.mapInArrow(apply, schema).toDF(*(docs.columns[i] for i in kept), "tokens", "n_tokens")
+def tokenise(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """docs with tokens and n_tokens, as encode() gives them, and decoded, the text that they decode to (null for a null text),
+    in one pass over the texts. Columns of docs with one of these names are replaced; all others pass through."""
+    return _with_tokens(docs, path, batch_bytes, True)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -270,10 +298,24 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def _texts(tokens: pa.Array, path: str) -> pa.Array:
-    tokenizer, out = load(path), []
-    for ids in tokens:
-        out.append(tokenizer.decode(ids.values.to_numpy(zero_copy_only=False).astype(np.int64)).tobytes().decode("utf-8", "replace") if ids.is_valid else None)
-    return pa.array(out, pa.string())
+    """The texts of lists of tokens. Bytes that are UTF-8 as a whole are taken as they are, others are replaced text by text."""
+    tokenizer = load(path)
+    ids = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= tokenizer.size):
+        raise ValueError(f"token ids must be from 0 to {tokenizer.size - 1}")
+    data = tokenizer.decode(ids)
+    sizes = np.r_[0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    ends = np.r_[0, np.cumsum(tokenizer.begin[ids + 1] - tokenizer.begin[ids])][sizes]
+    valid = tokens.is_valid()
+    try:
+        data.tobytes().decode()
+        whole = not ((data[ends[:-1][ends[:-1] < len(data)]] & 0xC0) == 0x80).any()  # no character lies across two texts
+    except UnicodeDecodeError:
+        whole = False
+    if whole and len(data) < 1 << 31:
+        mask = None if not tokens.null_count else pa.py_buffer(np.packbits(valid.to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.string(), len(tokens), [mask, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.array([data[a:b].tobytes().decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), valid.to_pylist())], pa.string())
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY, batch_bytes: int = BATCH_BYTES) -> DataFrame:

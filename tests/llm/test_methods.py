@@ -375,6 +375,25 @@ def test_bpe_long_pretokens(reference_encoding):
         assert mine.tolist() == reference_encoding.encode_ordinary(t) and tokenizer.decode(mine.astype(np.int64)).tobytes().decode() == t
 
 
+def test_bpe_forgets(texts, reference_encoding, monkeypatch):
+    """Tokens are the same however few pre-tokens a worker may remember."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
+    tokenizer, some = bpe.Tokenizer({t: r for r, t in enumerate(bpe.load().tokens)}), list(texts.values())[:60]
+    for t in some:
+        assert tokenizer.encode([t])[0].tolist() == reference_encoding.encode_ordinary(t)
+
+
+def test_bpe_decode(spark, reference_encoding):
+    """Tokens that split a character, empty and null lists; ids beyond the vocabulary are refused."""
+    whole = reference_encoding.encode_ordinary("日本語 🙂 text")
+    data = [(whole,), (whole[:1],), ([],), (None,), (whole[1:],)]
+    got = [r.decoded for r in bpe.decode(spark.createDataFrame(data, "tokens array<int>").coalesce(1)).collect()]
+    assert got == ["日本語 🙂 text", reference_encoding.decode_bytes(whole[:1]).decode("utf-8", "replace"), "", None, reference_encoding.decode_bytes(whole[1:]).decode("utf-8", "replace")]
+    for bad in ([-1], [10**6]):
+        with pytest.raises(Exception, match="token ids"):
+            bpe.decode(spark.createDataFrame([(bad,)], "tokens array<int>")).collect()
+
+
 def test_rank_queue():
     queue, held = bpe.RankQueue(50_000), Counter()
     for _ in range(3000):

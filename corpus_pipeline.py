@@ -8,8 +8,6 @@ doc_id passes the rest of the stages unmatched. The last stage adds tokens, n_to
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe, decontaminate, language, line_dedup, near_dedup, textkit
@@ -37,19 +35,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their byte-level BPE tokens and the text that these decode to."""
-    return bpe.decode(bpe.encode(docs))
+    return bpe.tokenise(docs)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_deduplication), ("near_dedup", near_deduplication), ("decontamination", decontamination), ("bpe", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents. The results between stages are Parquet in the shared folder."""
-    folder = f"{textkit.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    """The last stage's rows over documents. The results between stages are Parquet in the shared folder; a stage's result and
+    what it kept on the way are removed once the next has been written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        out, since = textkit.new_folder(spark, "pipeline"), textkit.mark(spark)
+        stage(spark, docs, sf_dir).write.parquet(out)
+        textkit.release(spark, since)
+        docs = spark.read.parquet(out)
+        if before:
+            textkit.remove(spark, before)
+        before = out
     return docs
 
 

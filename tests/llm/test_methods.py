@@ -39,12 +39,13 @@ def test_top_k_brute(spark):
     x = gen.normal(size=(700, 12)).astype(np.float32)
     x[50:60] = x[40]  # ties
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = {(r.query_id, r["rank"]): (r.neighbour_id, r.score) for r in top_k.top_k(df, 7, shard_rows=64, leaf_rows=8, block_rows=32).collect()}
     s = np.round(x.astype(np.float64) @ x.astype(np.float64).T, top_k.DECIMALS)
-    assert len(got) == 700 * 7
-    for q in range(700):
-        order = [i for i in np.lexsort((np.arange(700), -s[q])) if i != q][:7]
-        assert [got[q, k + 1] for k in range(7)] == [(i, s[q, i]) for i in order]
+    for every, options in ((1, {}), (7, {}), (50, {"summary_bytes": 300})):
+        got = {(r.query_id, r["rank"]): (r.neighbour_id, r.score) for r in top_k.top_k(df, 7, every=every, shard_rows=64, leaf_rows=8, block_rows=32, **options).collect()}
+        assert len(got) == len(range(0, 700, every)) * 7
+        for q in range(0, 700, every):
+            order = [i for i in np.lexsort((np.arange(700), -s[q])) if i != q][:7]
+            assert [got[q, k + 1] for k in range(7)] == [(i, s[q, i]) for i in order]
 
 
 # 2

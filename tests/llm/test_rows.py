@@ -73,7 +73,7 @@ def test_pages_and_vectors(spark):
     assert got == {(1, "text 1", 1, 1), (2, "text 2", 1, 1), (3, "Home\ntext 3", 2, 0), (4, None, 0, 0), (5, "", 0, 0), (None, "a c\nd", 3, 0), (7, "deep", 1, 0), (8, "deep", 1, 0)}
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
     vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [0.0, 0.0])]
-    got = {(r.query_id, r.rank): (r.neighbour_id, r.score) for r in top_k.top_k(spark.createDataFrame(vectors, "vec_id int, embedding array<double>").withColumn("v", F.lit(0)), 2).collect()}
+    got = {(r.query_id, r.rank): (r.neighbour_id, r.score) for r in top_k.top_k(spark.createDataFrame(vectors, "vec_id int, embedding array<double>").withColumn("v", F.lit(0)), 2, every=1).collect()}
     assert got == {(1, 1): (2, 1.0), (1, 2): (3, 0.0), (2, 1): (1, 1.0), (2, 2): (3, 0.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0), (9, 1): (1, 0.0), (9, 2): (2, 0.0)}
     assert top_k.top_k(spark.createDataFrame([], "vec_id int, embedding array<float>")).count() == 0
 

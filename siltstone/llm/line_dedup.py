@@ -1,11 +1,13 @@
 """Removal of repeated runs of lines by a suffix array over line-id sequences.
 
 Every text is a sequence of line ids. Lines that occur once in the corpus end a sequence, as no repeated run holds one;
-what lies between them are segments. Distributed prefix doubling sorts all suffixes of all segments: a suffix's rank is
-its first line's id and the number of smaller suffixes with that first line, so no global order is ever needed; a round
-compares the ranks twice as far apart, for tied suffixes only. Neighbours in that order give the longest common prefixes;
-from their intervals follows, for each suffix, the longest run that also begins at an earlier place of the corpus (order:
-doc_id, line). Runs of at least MIN_WORDS words are deleted, so the first copy of every long run stays.
+what lies between them are segments. Distributed prefix doubling ranks all suffixes of all segments: a round orders the
+distinct pairs of ranks that tied suffixes have at their place and so far behind it, by prefix sums over sorted ranges, and
+then compares twice as far. Suffixes that end alike keep one rank; the first of them by place (doc_id, text, line) stands for
+all in the suffix array, and the others are copies of it to their end. Neighbours in the array give the longest common
+prefixes; where these fall below MIN_WORDS words, the order is cut. From the intervals between cuts follows, for each
+suffix, the longest run that also begins at an earlier place. Runs of at least MIN_WORDS words are deleted, so the first
+copy of every long run stays. A line that occurs everywhere is counted before it is shuffled, and never gathers in one task.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import prefix_sums
 from . import textkit as K
 
 MIN_WORDS = 50
+#: Lines that the first round compares.
+FIRST = 8
 SLICE = 2 << 20
 _gap = np.zeros(256, bool)
 _gap[[9, 10, 12, 13, 32]] = True
@@ -72,53 +77,49 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def suffix_ranks(segs: DataFrame) -> DataFrame:
-    """(doc_id, h, at, off, g, r) of every suffix: g is its first line's id and r its place among the suffixes with it.
-
-    Exhausted suffixes are ordered by place, so the ranks become distinct after about log2(longest segment) rounds.
-    """
+    """(doc_id, h, at, off, r) of every suffix: r is the number of smaller suffixes, equal for suffixes that are equal to their
+    ends. About log2(longest segment) rounds."""
+    n = F.sequence(F.lit(0), F.size("ids") - 1)
     state = K.materialise(segs.select(*KEY, "ids", F.transform("ids", lambda _: F.lit(0).cast("bigint")).alias("ranks"), F.transform("ids", lambda _: F.lit(True)).alias("open")))
-    h = 1
+    h = 0
     while True:
-        each = state.select(*KEY, "ids", "ranks", F.posexplode("open").alias("off", "is_open")).where("is_open")
-        after = F.col("off") + F.lit(h)
-        rows = each.select(*KEY, "off", F.element_at("ids", F.col("off") + 1).alias("g"), F.element_at("ranks", F.col("off") + 1).alias("r"), F.get("ids", after).alias("ng"), F.get("ranks", after).alias("nr")).repartition("g")
-        ended = F.col("ng").isNull()
-        place = [F.when(ended, F.col(c)) for c in (*KEY, "off")]
-        tie = Window.partitionBy("g", "r").orderBy(F.col("ng").asc_nulls_first(), F.col("nr").asc_nulls_first(), *place)
-        ranked = rows.select(*KEY, "off", "g", "r", "ng", "nr", F.rank().over(tie).alias("k"))
-        same = Window.partitionBy("g", "r", "k")
-        ranked = ranked.select(*KEY, "off", (F.col("r") + F.col("k") - 1).alias("new"), (F.count("*").over(same) > 1).alias("still"))
+        places = state.select(*KEY, "ids", "ranks", F.explode(F.filter(n, lambda i: F.get("open", i))).alias("off"))
+        following = F.get("ranks", F.col("off") + h) if h else F.slice("ids", F.col("off") + 1, FIRST)
+        rows = places.select(*KEY, "off", F.get("ranks", F.col("off")).alias("r"), following.alias("nr"))
+        keys = prefix_sums(rows.groupBy("r", "nr").agg(F.count("*").alias("n")), [F.col("r"), F.col("nr")], {"n": "upto"})
+        starts = keys.groupBy("r").agg(F.min("upto").alias("low"))
+        placed = keys.join(starts, "r").select(F.col("r").alias("kr"), F.col("nr").alias("knr"), (F.col("r") + F.col("upto") - F.col("low")).alias("new"), ((F.col("n") > 1) & (F.col("nr").isNotNull() if h else F.size("nr") == FIRST)).alias("still"))
+        ranked = rows.join(placed, (rows["r"] == placed["kr"]) & rows["nr"].eqNullSafe(placed["knr"]))
         moved = ranked.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("off", F.struct("new", "still")))).alias("m"))
         joined = state.join(moved, KEY, "left")
-        n = F.sequence(F.lit(0), F.size("ids") - 1)
         state = K.materialise(
             joined.select(
                 *KEY, "ids",
-                F.when(F.col("m").isNull(), F.col("ranks")).otherwise(F.transform(n, lambda i: F.coalesce(F.try_element_at("m", i)["new"], F.element_at("ranks", i + 1)))).alias("ranks"),
-                F.when(F.col("m").isNull(), F.col("open")).otherwise(F.transform(n, lambda i: F.coalesce(F.try_element_at("m", i)["still"], F.lit(False)))).alias("open"),
-            )
+                F.when(F.col("m").isNull(), F.col("ranks")).otherwise(F.transform(n, lambda i: F.coalesce(F.try_element_at("m", i)["new"], F.get("ranks", i)))).alias("ranks"),
+                F.when(F.col("m").isNull(), F.transform("open", lambda _: F.lit(False))).otherwise(F.transform(n, lambda i: F.coalesce(F.try_element_at("m", i)["still"], F.lit(False)))).alias("open"),
+            ), state
         )
         if not state.where(F.exists("open", lambda x: x)).limit(1).count():
-            return state.select(*KEY, F.posexplode(F.arrays_zip("ids", "ranks")).alias("off", "x")).select(*KEY, "off", F.col("x.ids").alias("g"), F.col("x.ranks").alias("r"))
-        h *= 2
+            return state.select(*KEY, F.posexplode("ranks").alias("off", "r"))
+        h = 2 * h or FIRST
 
 
-def common_prefixes(segs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(doc_id, h, at, off, g, r, lcp): lcp with the suffix before it in the order, 0 for the first with its line.
+def common_prefixes(segs: DataFrame, array: DataFrame) -> DataFrame:
+    """(doc_id, h, at, off, i, lcp, words): lcp in lines, and its words, with the suffix before it in the array, both 0 for the
+    first. array: (doc_id, h, at, off, i) with i from 0.
 
     Suffixes of one segment whose predecessors lie in one other segment at one distance share a comparison of the two.
     """
-    order = Window.partitionBy("g").orderBy("r")
-    previous = F.lag(F.struct(*KEY, "off")).over(order)
-    near = ranks.select(*KEY, "off", "g", "r", previous.alias("p"))
-    grouped = near.where("p is not null").groupBy(*KEY, *(F.col(f"p.{c}").alias(f"p_{c}") for c in KEY), (F.col("p.off") - F.col("off")).alias("shift")).agg(F.collect_list(F.struct("off", "g", "r")).alias("x"))
-    mine = segs.select(*KEY, F.col("ids").alias("a"))
+    before = array.select(*(F.col(c).alias(f"p_{c}") for c in (*KEY, "off")), (F.col("i") + 1).alias("i"))
+    near = array.join(before, "i", "left")
+    grouped = near.where("p_doc_id is not null").groupBy(*KEY, *(f"p_{c}" for c in KEY), (F.col("p_off") - F.col("off")).alias("shift")).agg(F.collect_list(F.struct("off", "i")).alias("x"))
+    mine = segs.select(*KEY, F.col("ids").alias("a"), F.col("words").alias("w"))
     theirs = segs.select(*(F.col(c).alias(f"p_{c}") for c in KEY), F.col("ids").alias("b"))
     both = grouped.join(mine, KEY).join(theirs, [f"p_{c}" for c in KEY])
     low, high = F.array_min("x.off"), F.size("a")
     # only the part of the other segment that can match is carried on
     start = F.greatest(low + F.col("shift"), F.lit(0))
-    narrow = both.select(*KEY, "shift", "x", low.alias("low"), F.slice("a", low + 1, high).alias("a"), F.slice("b", start + 1, high - low).alias("b"))
+    narrow = both.select(*KEY, "x", low.alias("low"), F.slice("a", low + 1, high).alias("a"), F.slice("w", low + 1, high).alias("w"), F.slice("b", start + 1, high - low).alias("b"))
 
     def apply(batches):
         for batch in batches:
@@ -126,31 +127,33 @@ def common_prefixes(segs: DataFrame, ranks: DataFrame) -> DataFrame:
                 continue
             parts = [[] for _ in range(5)]
             for i in range(batch.num_rows):
-                a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (6, 7))
-                x = batch.column(4)[i].values
-                off, low = x.field(0).to_numpy(), batch.column(5)[i].as_py()
+                a, w, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (5, 6, 7))
+                x = batch.column(3)[i].values
+                off, low = x.field(0).to_numpy(), batch.column(4)[i].as_py()
                 n = min(len(a), len(b))
                 stops = np.r_[np.flatnonzero(a[:n] != b[:n]), n]
+                total = np.r_[0, np.cumsum(w, dtype=np.int64)]
                 o = off - low
-                parts[0].append(np.full(len(off), i))
-                parts[1].append(off)
-                parts[2].append(x.field(1).to_numpy())
-                parts[3].append(x.field(2).to_numpy())
-                parts[4].append(stops[np.searchsorted(stops, o)] - o)
-            who, off, g, r, lcp = (np.concatenate(x) for x in parts)
+                stop = stops[np.searchsorted(stops, o)]
+                for k, part in enumerate((np.full(len(off), i), off, x.field(1).to_numpy(), stop - o, total[stop] - total[o])):
+                    parts[k].append(part)
+            who, off, i, lcp, words = (np.concatenate(x) for x in parts)
             who = pa.array(who)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(who) for k in range(3)), pa.array(off, pa.int32()), pa.array(g), pa.array(r), pa.array(lcp, pa.int32())], [*KEY, "off", "g", "r", "lcp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(who) for k in range(3)), pa.array(off, pa.int32()), pa.array(i), pa.array(lcp, pa.int32()), pa.array(words)], [*KEY, "off", "i", "lcp", "words"])
 
-    schema = "doc_id bigint, h bigint, at int, off int, g bigint, r bigint, lcp int"
-    found = narrow.mapInArrow(apply, schema)
-    return found.unionAll(near.where("p is null").select(*KEY, F.col("off").cast("int").alias("off"), "g", "r", F.lit(0).alias("lcp")))
+    found = narrow.mapInArrow(apply, "doc_id bigint, h bigint, at int, off int, i bigint, lcp int, words bigint")
+    return found.unionAll(near.where("p_doc_id is null").select(*KEY, F.col("off").cast("int"), "i", F.lit(0), F.lit(0).cast("bigint")))
 
 
-def earlier_runs(prefixes: DataFrame) -> DataFrame:
-    """(doc_id, h, at, off, run): the length in lines of the longest run from here that also begins at an earlier place.
+def earlier_runs(prefixes: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h, at, off, run): the length in lines of the longest run from here that also begins at an earlier place, where
+    it can have min_words words.
 
-    One sweep over the suffixes in order, with a stack of those whose next earlier neighbour isn't known yet.
+    The array is cut where neighbours share fewer words. One sweep over each interval, with a stack of those suffixes whose
+    next earlier neighbour isn't known yet.
     """
+    cut = prefixes.withColumn("opens", (F.col("words") < min_words).cast("int"))
+    groups = prefix_sums(cut.drop("words"), [F.col("i")], {"opens": "group"}).withColumn("group", F.col("group") + F.col("opens"))
 
     def apply(batches):
         held: list[list] = []
@@ -161,7 +164,7 @@ def earlier_runs(prefixes: DataFrame) -> DataFrame:
             while held and held[-1][0] > place:
                 top, own = held.pop()
                 if run := max(own, lcp):
-                    out.append((*top[:2], top[3], top[2] - top[3], run))
+                    out.append((*top, run))
                 lcp = min(lcp, own)
             return lcp
 
@@ -171,26 +174,38 @@ def earlier_runs(prefixes: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(x, pa.int32()) for x in rows[2:])], [*KEY, "off", "run"])
 
         for batch in batches:
-            for doc, h, at, off, g, lcp in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6))):
+            for doc, h, at, off, lcp, g in zip(*(c.to_pylist() for c in batch.columns)):
                 if g != group:
                     close((), 0)
-                    group = g
-                place = (doc, h, at + off, at)
-                held.append([place, close(place, lcp)])
+                    group, lcp = g, 0
+                held.append([(doc, h, at, off), close((doc, h, at, off), lcp)])
             if len(out) > 10000:
                 yield flush()
         close((), 0)
         if out:
             yield flush()
 
-    ordered = prefixes.repartition("g").sortWithinPartitions("g", "r")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    ordered = groups.join(sizes, "group", "left_semi").repartition("group").sortWithinPartitions("group", "i").select(*KEY, "off", "lcp", "group")
     return ordered.mapInArrow(apply, "doc_id bigint, h bigint, at int, off int, run int")
 
 
+def repeated_runs(segs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h, at, off, run): the runs of lines that also begin at an earlier place and cover all others of min_words."""
+    suffixes = K.materialise(suffix_ranks(segs))
+    place = F.struct(*KEY, "off")
+    classes = K.materialise(suffixes.groupBy("r").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    # what follows a copy is a copy too: the first of a segment covers the rest of it
+    again = suffixes.join(classes.where("n > 1").select("r", "first"), "r").where(place != F.col("first")).groupBy(*KEY).agg(F.min("off").alias("off"))
+    copies = again.join(segs, KEY).select(*KEY, F.col("off").cast("int"), (F.size("ids") - F.col("off")).cast("int").alias("run"))
+    array = prefix_sums(classes.select("r", "first.*").withColumn("one", F.lit(1)), [F.col("r")], {"one": "i"}).select(*KEY, F.col("off").cast("int").alias("off"), "i")
+    return earlier_runs(common_prefixes(segs, array), min_words).unionByName(copies)
+
+
 def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, h, lines, words): the lines that go, and their words, of every text that loses any."""
     segs = K.materialise(segments(K.materialise(line_table(docs)), min_words))
-    runs = earlier_runs(common_prefixes(segs, suffix_ranks(segs)))
+    runs = repeated_runs(segs, min_words)
     runs = runs.groupBy(*KEY).agg(F.collect_list(F.struct("off", "run")).alias("runs"))
     covered = segs.select(*KEY, "words", "lines").join(runs, KEY)
 

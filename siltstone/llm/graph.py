@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null")
     both = K.materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = K.materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    labels = kept = K.materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         up = labels.select(F.col("node").alias("up"), F.col("component").alias("up_component"))
         jumped = least.join(up, least["component"] == up["up"], "left").select("node", F.least("component", "up_component").alias("component"), "before")
-        jumped = K.materialise(jumped)
-        if not jumped.where("component <> before").limit(1).count():
-            return jumped.select("node", "component")
-        labels = jumped.select("node", "component")
+        kept = K.materialise(jumped, kept)
+        if not kept.where("component <> before").limit(1).count():
+            return kept.select("node", "component")
+        labels = kept.select("node", "component")

@@ -176,9 +176,10 @@ def _value(bits: list[int]) -> str:
 
 
 def near_pairs(prints: DataFrame, radius: int = RADIUS, verify_radius: int = VERIFY_RADIUS) -> DataFrame:
-    """(a, b), a < b: representatives of fingerprints that are equal in f0 or within radius there, and within
-    verify_radius over all bits. prints: (rep, f0, f1, f2), a row per fingerprint. Exact: no pair is missed."""
-    seeds = prints.select("f0").distinct()
+    """(a, b), a < b: links between representatives of fingerprints that are within radius in f0 and within verify_radius over
+    all bits. prints: (rep, f0, f1, f2), a row per fingerprint. Exact: every pair of different f0 is there, and those of equal
+    f0 are there or joined by others."""
+    seeds = K.materialise(prints.select("f0").distinct())
     n = seeds.count()
     if not n:
         return prints.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -188,15 +189,29 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, verify_radius: int = VER
         masks = [sum(1 << b for b in some) for d in range(t + 1) for some in combinations(range(len(bits)), d)]
         index.append(f"{key}")
         probes.append(f"transform(array({', '.join(f'{x}L' for x in masks)}), m -> m ^ {key})")
+    # a number of partitions given by name isn't coalesced: probes are many for each small row
+    spread = max(prints.sparkSession.sparkContext.defaultParallelism, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stored = seeds.select(F.col("f0").alias("y"), F.expr(f"explode(array({', '.join(index)}))").alias("key"))
-    asked = seeds.select(F.col("f0").alias("x"), F.expr(f"explode(concat({', '.join(probes)}))").alias("key"))
+    asked = seeds.repartition(spread, "f0").select(F.col("f0").alias("x"), F.expr(f"explode(concat({', '.join(probes)}))").alias("key"))
     close = asked.join(stored.hint("shuffle_hash"), "key").where(f"x < y and bit_count(x ^ y) <= {radius}").select("x", "y").distinct()
-    same = prints.groupBy("f0").agg(F.count("*").alias("n")).where("n > 1").select(F.col("f0").alias("x"), F.col("f0").alias("y"))
     left = prints.select(F.col("rep").alias("a"), F.col("f0").alias("x"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
     right = prints.select(F.col("rep").alias("b"), F.col("f0").alias("y"), F.col("f1").alias("y1"), F.col("f2").alias("y2"))
-    pairs = close.unionAll(same).join(left, "x").join(right, "y")
-    verified = pairs.where(f"(x <> y or a < b) and bit_count(x ^ y) + bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {verify_radius}")
-    return verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = "bit_count(x ^ y) + bit_count(x1 ^ y1) + bit_count(x2 ^ y2)"
+    verified = close.join(left, "x").join(right, "y").where(f"{apart} <= {verify_radius}").select("a", "b")
+    pairs = verified.unionAll(_equal_in_f0(prints, verify_radius))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _equal_in_f0(prints: DataFrame, verify_radius: int) -> DataFrame:
+    """(a, b): links that join all fingerprints that are equal in f0 and linked over all bits. The smallest of a value is linked
+    with all that are near it; only the others, which unrelated texts alone can be, are compared with the rest."""
+    pivots = prints.groupBy("f0").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f1", "f2")).alias("p")).where("n > 1").select(F.col("f0").alias("pf"), "p")
+    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("p.f1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("p.f2")))
+    beside = prints.join(pivots, prints["f0"] == pivots["pf"]).where(F.col("rep") != F.col("p.rep")).select("rep", "f0", "f1", "f2", F.col("p.rep").alias("pivot"), (apart <= verify_radius).alias("near"))
+    odd = beside.where("not near").select(F.col("rep").alias("a"), F.col("f0").alias("x"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
+    others = beside.select(F.col("rep").alias("b"), F.col("f0").alias("y"), F.col("f1").alias("y1"), F.col("f2").alias("y2"), "near")
+    rest = odd.join(others, odd["x"] == others["y"]).where(f"(near or a < b) and bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {verify_radius}").select("a", "b")
+    return beside.where("near").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).unionAll(rest)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify_radius: int = VERIFY_RADIUS) -> DataFrame:

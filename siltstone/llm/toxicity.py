@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segment search over token log-odds, with extreme-value calibration.
 
 Token scores are log-odds of the toxic against the clean labelled texts under an informative Dirichlet prior. A word is
-counted once for each word that it follows, so that copies of one text don't count as evidence; words whose z-score is
-at least Z_MIN score their log-odds, all others DRIFT. One scan of a text, linear in its length, finds every maximal
+counted once for each word that it follows, so that copies of one text don't count as evidence. Words that begin alike are
+also counted together, as families by their first bytes; words and families whose z-score is at least Z_MIN score their
+log-odds. The prior is hierarchical: a word of a scoring family is drawn to the family's odds by FAMILY_WEIGHT, and a word
+that the labelled texts don't have takes the odds of its longest scoring family. All other words score DRIFT. One scan of a text, linear in its length, finds every maximal
 scoring segment. Under clean text the best of n positions exceeds S with probability 1 - exp(-K n exp(-lambda S)): lambda
-solves the moment equation over the clean token distribution, K is fitted to the segments of the clean labelled texts. A
+solves the moment equation over the clean token distribution, K is fitted to the segments of held-out clean texts. A
 segment whose expected number is at most E_MAX is significant.
 """
 
@@ -25,7 +27,10 @@ FLAT = 0.5
 Z_MIN = 3.5
 #: A word weighs in from this log-odds on; frequent words that lean slightly are neutral.
 SCORE_MIN = 1.0
-DRIFT = -0.3
+DRIFT = -0.1
+#: Lengths in bytes of the beginnings that make families, and the tokens by which a family weighs on a word of it.
+FAMILY_BYTES = (4, 5, 6, 7, 8)
+FAMILY_WEIGHT = 4.0
 #: One false passage in a thousand clean documents.
 E_MAX = 1e-3
 SLICE = 4 << 20
@@ -52,17 +57,29 @@ def maximal_segments(positions: np.ndarray, before: np.ndarray, after: np.ndarra
     return [(a, b, hi - lo) for a, b, lo, hi in held]
 
 
+def families(column: pa.Array, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...] = FAMILY_BYTES) -> np.ndarray:
+    """The hash of the first bytes of each word, a column for each length; 0 for shorter words."""
+    data = K.fold(K.flat(column)[0])
+    out = np.zeros((len(start), len(lengths)), np.uint64)
+    for k, n in enumerate(lengths):
+        long = np.flatnonzero(end - start >= n)
+        out[long, k] = K.mix(K.span_hashes(data, start[long], start[long] + n) + np.uint64(n))
+    return out
+
+
 def _contexts(batches, toxic_at: int, text_at: int):
     for part in K.slices(batches, "text", SLICE):
-        h, _, _, first = K.word_hashes(part.column(text_at))
+        h, start, end, first = K.word_hashes(part.column(text_at))
         if not len(h):
             continue
         previous = np.r_[np.uint64(0), h[:-1]]
         previous[first[:-1][first[:-1] < len(h)]] = 0
         owner = np.repeat(np.arange(part.num_rows), np.diff(first))
         toxic = np.asarray(part.column(toxic_at).to_pylist(), np.int8)[owner]
-        pairs = np.unique(np.stack([h, previous, toxic.astype(np.uint64)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64)), pa.array(pairs[2].astype(np.int32))], ["word", "previous", "toxic"])
+        pairs, at = np.unique(np.stack([h, previous, toxic.astype(np.uint64)]), axis=1, return_index=True)
+        family = families(part.column(text_at), start, end)[at].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(FAMILY_BYTES)), pa.array(family.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64)), pa.array(pairs[2].astype(np.int32)), lists], ["word", "previous", "toxic", "family"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -76,40 +93,90 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
     return texts.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max(label).alias(label)).select(label, "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, prior: float = PRIOR, z_min: float = Z_MIN, drift: float = DRIFT) -> dict:
-    """Scores and calibration. Without toxic or without clean rows there are no scores and nothing is significant."""
-    rows = K.materialise(labelled(docs, labels, "toxic", per_class))
-    pairs = rows.mapInArrow(lambda b: _contexts(b, 0, 1), "word bigint, previous bigint, toxic int").distinct()
-    words = pairs.groupBy("word").agg(F.sum("toxic").cast("double").alias("y1"), F.sum(1 - F.col("toxic")).cast("double").alias("y0"))
+def word_scores(rows: DataFrame, prior: float = PRIOR, z_min: float = Z_MIN, drift: float = DRIFT) -> dict:
+    """Scores of words and families from (toxic, text) rows, and lambda; none without toxic or without clean rows."""
+    pairs = rows.mapInArrow(lambda b: _contexts(b, 0, 1), "word bigint, previous bigint, toxic int, family array<bigint>").distinct()
+    words = pairs.groupBy("word", "family").agg(F.sum("toxic").cast("double").alias("y1"), F.sum(1 - F.col("toxic")).cast("double").alias("y0"))
     words = K.materialise(words)
     n1, n0, kinds = (x or 0.0 for x in words.agg(F.sum("y1"), F.sum("y0"), F.count("*")).first())
+    none = np.zeros(0, np.uint64)
+    model = {"words": none, "scores": np.zeros(0), "families": none, "family_scores": np.zeros(0), "lengths": (), "drift": drift, "lambda": 1.0, "k": 1.0}
     if not n1 or not n0:
-        return {"words": np.zeros(0, np.uint64), "scores": np.zeros(0), "lambda": 1.0, "k": 1.0, "drift": drift}
+        return model
     alpha, all_alpha = f"({prior} * (y1 + y0) / {n1 + n0} + {FLAT})", prior + FLAT * kinds
-    odds = words.selectExpr("word", "y1", "y0", f"ln((y1 + {alpha}) / ({n1 + all_alpha} - y1 - {alpha})) - ln((y0 + {alpha}) / ({n0 + all_alpha} - y0 - {alpha})) AS score", f"sqrt(1 / (y1 + {alpha}) + 1 / (y0 + {alpha})) AS deviation", f"(y0 + {alpha}) / {n0 + all_alpha} AS p")
-    got = sorted((np.uint64(r["word"] & K.MASK), r["score"], r["p"]) for r in odds.where(f"score / deviation >= {z_min} and score >= {SCORE_MIN}").collect())
-    known, scores, p = np.array([x[0] for x in got], np.uint64), np.array([x[1] for x in got]), np.array([x[2] for x in got])
-    model = {"words": known, "scores": scores, "drift": drift, "lambda": 1.0, "k": 1.0}
-    if not len(known):
+    score = f"ln((y1 + {alpha}) / ({n1 + all_alpha} - y1 - {alpha})) - ln((y0 + {alpha}) / ({n0 + all_alpha} - y0 - {alpha}))"
+    odds = f"{score} AS score", f"({score}) / sqrt(1 / (y1 + {alpha}) + 1 / (y0 + {alpha})) AS z"
+    telling = f"z >= {z_min} and score >= {SCORE_MIN}"
+    grouped = words.select("y1", "y0", F.posexplode("family").alias("length", "f")).where("f <> 0").groupBy("length", "f").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"), F.count("*").alias("members"))
+    chosen = {r.f: (r.length, r.score, r.y1, r.y0) for r in grouped.where("members > 1").selectExpr("length", "f", "y1", "y0", *odds).where(telling).collect()}
+    # what a word's longest scoring family says weighs on it like FAMILY_WEIGHT tokens
+    known, p = {}, {}
+    own = words.selectExpr("word", "family", "y1", "y0", f"(y0 + {alpha}) / {n0 + all_alpha} AS p", *odds)
+    told = own.where(telling)
+    if chosen:
+        listed = words.sparkSession.createDataFrame([(f,) for f in chosen], "f bigint")
+        member = words.select("word", F.explode("family").alias("f")).join(F.broadcast(listed), "f", "left_semi").select("word").distinct()
+        told = told.unionAll(own.join(member, "word").select(own.columns)).distinct()
+    for r in told.toLocalIterator():
+        value, family = r.score, next((chosen[f] for f in reversed(r.family) if f in chosen), None)
+        if family:
+            share = family[2] / (family[2] + family[3])
+            y1, y0 = r.y1 + FAMILY_WEIGHT * share + FLAT, r.y0 + FAMILY_WEIGHT * (1 - share) + FLAT
+            value = np.log(y1 / (n1 + all_alpha)) - np.log(y0 / (n0 + all_alpha))
+        known[r.word & K.MASK], p[r.word & K.MASK] = float(value) if value >= SCORE_MIN else drift, r.p
+    if not known:
         return model
+    at = np.array(sorted(known), np.uint64)
+    scores, p = np.array([known[int(x)] for x in at]), np.array([p[int(x)] for x in at])
+    fam = np.array(sorted(f & K.MASK for f in chosen), np.uint64)
+    of = {f & K.MASK: x for f, x in chosen.items()}
+    model |= {"words": at, "scores": scores, "families": fam, "family_scores": np.array([of[int(x)][1] for x in fam]), "lengths": tuple(FAMILY_BYTES[k] for k in sorted({x[0] for x in chosen.values()}))}
     rest = 1 - p.sum()
     lo, hi = 1e-6, 50.0
     for _ in range(100):  # the moment at 0 is 1 and falls first, so the root is where it comes back to 1
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * scores, 700))).sum() + rest * np.exp(mid * drift) < 1 else (lo, mid)
-    model["lambda"] = lam = (lo + hi) / 2
+    model["lambda"] = (lo + hi) / 2
+    return model
+
+
+def segment_scores(rows: DataFrame, model: dict) -> tuple[int, int, np.ndarray]:
+    """(texts, words, scores of all maximal segments, highest first) of (toxic, text) rows."""
 
-    def tail(batches):
+    def look(batches):
         for part in K.slices(batches, "text", SLICE):
-            total, n = 0.0, 0
-            for _, segs, words_in, _ in scan(part.column(1), model):
-                n += words_in
-                total += len(segs)
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([total])], ["n", "segments"])
-
-    n, seen = rows.where("toxic = 0").mapInArrow(tail, "n double, segments double").agg(F.sum("n"), F.sum("segments")).first()
-    # E(s) = K n exp(-lambda s); every segment scores at least the lowest word score
-    model["k"] = max((seen or 0.0) + 1.0, 1.0) / max(n or 1.0, 1.0) * float(np.exp(lam * scores.min()))
+            found, n = [], 0
+            for _, segments, words, _ in scan(part.column(1), model):
+                n += words
+                found += [s for _, _, s in segments]
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([n]), pa.array([found], pa.list_(pa.float64()))], ["texts", "words", "scores"])
+
+    got = rows.mapInArrow(look, "texts bigint, words bigint, scores array<double>").collect()
+    return sum(r.texts for r in got), sum(r.words for r in got), np.sort(np.array([s for r in got for s in r.scores]))[::-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, prior: float = PRIOR, z_min: float = Z_MIN, drift: float = DRIFT) -> dict:
+    """Scores and calibration. Without toxic or without clean rows there are no scores and nothing is significant.
+
+    K is the least with which no more segments of clean texts are significant than expected, at any score that more than E_MAX of
+    the texts reach. Each half of the labelled texts is scanned with scores learned from the other, so that words that by
+    chance aren't in clean texts don't flatter it.
+    """
+    rows = K.materialise(labelled(docs, labels, "toxic", per_class))
+    model = word_scores(rows, prior, z_min, drift)
+    if not len(model["words"]):
+        return model
+    texts, words, found = 0, 0, []
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    for k in (0, 1):
+        other = word_scores(rows.where(half != k), prior, z_min, drift)
+        t, w, s = segment_scores(rows.where((half == k) & (F.col("toxic") == 0)), other)
+        texts, words, found = texts + t, words + w, [*found, s]
+    scores, lam = np.sort(np.concatenate(found))[::-1], model["lambda"]
+    rank = np.arange(1, len(scores) + 1)
+    tail = (rank > E_MAX * texts) & (scores >= SCORE_MIN)
+    log_k = np.log(rank[tail]) + lam * scores[tail]
+    model["k"] = float(np.exp(max(log_k.max() if len(log_k) else -np.inf, lam * SCORE_MIN)) / max(words, 1))
     return model
 
 
@@ -118,7 +185,14 @@ def scan(column: pa.Array, model: dict):
     that has a scoring word or, with no segment, of the rest."""
     h, start, end, first = K.word_hashes(column)
     at = K.lookup(h, model["words"])
-    hit = np.flatnonzero(at >= 0)
+    value = np.where(at >= 0, model["scores"][np.maximum(at, 0)], model["drift"]) if len(model["words"]) else np.full(len(h), model["drift"])
+    if model["lengths"]:
+        fresh = np.flatnonzero(at < 0)
+        family = families(column, start[fresh], end[fresh], model["lengths"])
+        for k in range(family.shape[1]):  # the longest comes last
+            place = K.lookup(family[:, k], model["families"])
+            value[fresh[place >= 0]] = model["family_scores"][place[place >= 0]]
+    hit = np.flatnonzero(value > 0)
     bounds = np.searchsorted(hit, first)
     for t in range(len(column)):
         mine = hit[bounds[t] : bounds[t + 1]]
@@ -126,7 +200,7 @@ def scan(column: pa.Array, model: dict):
         if not len(mine):
             yield t, [], n, None
             continue
-        gain = model["scores"][at[mine]]
+        gain = value[mine]
         place = mine - first[t]
         before = (place - np.arange(len(mine))) * model["drift"] + np.r_[0.0, np.cumsum(gain)[:-1]]
         yield t, maximal_segments(place, before, before + gain), n, (start[first[t] : first[t + 1]], end[first[t] : first[t + 1]])

@@ -23,6 +23,10 @@ WIDTH = BIGRAMS + TRIGRAMS
 CENTROIDS = 4
 #: Labelled rows of each language that k-means sees at most.
 FIT_PER_LANGUAGE = 1500
+#: Of these, so many at most are also cut into pieces of all lengths, by which the floors of short texts are calibrated.
+CALIBRATION_TEXTS = 400
+#: Lengths, in characters, of the pieces: from the beginning and from the middle of a text.
+PIECES = (6, 12, 24, 48, 96, 192, 384, 768, 1536, 4096)
 #: Share of the language's own texts of a length that calibration puts below the floor, under which a document is rejected.
 FLOOR_QUANTILE = 0.001
 #: No text is held to a higher calibrated cosine than this: long texts that mix languages stay.
@@ -106,10 +110,12 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, count
 
 
-def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int = CENTROIDS) -> dict:
+def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int = CENTROIDS, calibration_texts: int = CALIBRATION_TEXTS) -> dict:
     """The model: idf over all docs; centroids and floors from at most per_language rows of each language that has a label.
 
-    The sample is by hash of id and text, so it doesn't depend on row order. Rows with a null lang or text teach nothing.
+    The sample is by hash of id and text, so it doesn't depend on row order. Floors are quantiles of what each half of the
+    sample reaches against centroids of the other half: all whole texts, and pieces of calibration_texts of them. Rows with a
+    null lang or text teach nothing.
     """
     docs = K.only(docs, "doc_id", "lang", "text")
     df, count = document_frequency(docs)
@@ -133,7 +139,7 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, centroids: int =
         for fold in (0, 1):  # each half of the texts against centroids of the other
             apart = cluster(x[1 - fold :: 2], centroids) if len(x) > 1 else c
             own = texts[fold::2]
-            pieces = [t[at : at + n] for t in own[:200] for n in (6, 12, 24, 48, 96, 192, 384, 768, 1536, 4096) for at in (0, len(t) // 2)] + own
+            pieces = [t[at : at + n] for t in own[: (calibration_texts + 1) // 2] for n in PIECES for at in (0, len(t) // 2)] + own
             for at in range(0, len(pieces), 128):
                 counts = gram_counts(pa.array(pieces[at : at + 128], pa.string()))
                 best, size = (weigh(counts, idf) @ apart.T).max(axis=1), length_class(counts)

@@ -73,6 +73,20 @@ def forward(x: np.ndarray, of: np.ndarray, n: int, w: dict[str, np.ndarray]) ->
     return {"h": h, "t": t, "g": g, "attention": attention, "z": z, "logit": z @ w["c"] + w["d"][0], "has": has}
 
 
+def gradients(x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Derivatives of the documents' mean weighted log loss by every weight."""
+    n = len(y)
+    f = forward(x, of, n, w)
+    d_logit = (1 / (1 + np.exp(-f["logit"])) - y) * weight / n
+    d_z = np.outer(d_logit, w["c"])
+    p, h = f["attention"], f["h"]
+    d_p = (d_z[of] * h).sum(axis=1)
+    d_e = p * (d_p - np.bincount(of, weights=p * d_p, minlength=n)[of])
+    d_t, d_g = np.outer(d_e, w["a"]) * f["g"] * (1 - f["t"] ** 2), np.outer(d_e, w["a"]) * f["t"] * f["g"] * (1 - f["g"])
+    d_h = (p[:, None] * d_z[of] + d_t @ w["V"].T + d_g @ w["U"].T) * (h > 0)
+    return {"W": x.T @ d_h, "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_g, "a": (f["t"] * f["g"]).T @ d_e, "c": f["z"].T @ d_logit, "d": np.array([d_logit.sum()])}
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 3e-3, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights by Adam on the class-balanced log loss of documents."""
     rng = np.random.default_rng(seed)
@@ -85,17 +99,8 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float =
             some = order[a : a + 64]
             x = np.concatenate([bags[i] for i in some]).astype(np.float64)
             of = np.repeat(np.arange(len(some)), [len(bags[i]) for i in some])
-            f = forward(x, of, len(some), w)
-            d_logit = (1 / (1 + np.exp(-f["logit"])) - y[some]) * weight[some] / len(some)
-            d_z = np.outer(d_logit, w["c"])
-            p, h = f["attention"], f["h"]
-            d_p = (d_z[of] * h).sum(axis=1)
-            d_e = p * (d_p - np.bincount(of, weights=p * d_p, minlength=len(some))[of])
-            d_t, d_g = np.outer(d_e, w["a"]) * f["g"] * (1 - f["t"] ** 2), np.outer(d_e, w["a"]) * f["t"] * f["g"] * (1 - f["g"])
-            d_h = (p[:, None] * d_z[of] + d_t @ w["V"].T + d_g @ w["U"].T) * (h > 0)
-            grads = {"W": x.T @ d_h, "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_g, "a": (f["t"] * f["g"]).T @ d_e, "c": f["z"].T @ d_logit, "d": np.array([d_logit.sum()])}
             step += 1
-            for k, g in grads.items():
+            for k, g in gradients(x, of, y[some], weight[some], w).items():
                 g = g + 1e-4 * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g

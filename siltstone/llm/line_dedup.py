@@ -2,8 +2,8 @@
 
 Every text is a sequence of line ids. Lines that occur once in the corpus end a sequence, as no repeated run holds one;
 what lies between them are segments. Distributed prefix doubling ranks all suffixes of all segments: a round orders the
-distinct pairs of ranks that tied suffixes have at their place and so far behind it, by prefix sums over sorted ranges, and
-then compares twice as far. Suffixes that end alike keep one rank; the first of them by place (doc_id, text, line) stands for
+distinct runs of ranks that tied suffixes have at their place and so far behind it, by prefix sums over sorted ranges, and
+doubles the distance twice. Suffixes that end alike keep one rank; the first of them by place (doc_id, text, line) stands for
 all in the suffix array, and the others are copies of it to their end. Neighbours in the array give the longest common
 prefixes; where these fall below MIN_WORDS words, the order is cut. From the intervals between cuts follows, for each
 suffix, the longest run that also begins at an earlier place. Runs of at least MIN_WORDS words are deleted, so the first
@@ -21,8 +21,8 @@ from ..operators.chunks import prefix_sums
 from . import textkit as K
 
 MIN_WORDS = 50
-#: Lines that the first round compares.
-FIRST = 8
+#: Lines that the first round compares, and how many times as many each later one does: two doublings.
+FIRST, STEP = 8, 4
 SLICE = 2 << 20
 _gap = np.zeros(256, bool)
 _gap[[9, 10, 12, 13, 32]] = True
@@ -78,18 +78,18 @@ def segments(lines: DataFrame, min_words: int) -> DataFrame:
 
 def suffix_ranks(segs: DataFrame) -> DataFrame:
     """(doc_id, h, at, off, r) of every suffix: r is the number of smaller suffixes, equal for suffixes that are equal to their
-    ends. About log2(longest segment) rounds."""
+    ends. About log4(longest segment) rounds."""
     n = F.sequence(F.lit(0), F.size("ids") - 1)
     state = K.materialise(segs.select(*KEY, "ids", F.transform("ids", lambda _: F.lit(0).cast("bigint")).alias("ranks"), F.transform("ids", lambda _: F.lit(True)).alias("open")))
     h = 0
     while True:
         places = state.select(*KEY, "ids", "ranks", F.explode(F.filter(n, lambda i: F.get("open", i))).alias("off"))
-        following = F.get("ranks", F.col("off") + h) if h else F.slice("ids", F.col("off") + 1, FIRST)
+        following = F.array(*(F.get("ranks", F.col("off") + k * h) for k in range(1, STEP))) if h else F.slice("ids", F.col("off") + 1, FIRST)
         rows = places.select(*KEY, "off", F.get("ranks", F.col("off")).alias("r"), following.alias("nr"))
         keys = prefix_sums(rows.groupBy("r", "nr").agg(F.count("*").alias("n")), [F.col("r"), F.col("nr")], {"n": "upto"})
         starts = keys.groupBy("r").agg(F.min("upto").alias("low"))
-        placed = keys.join(starts, "r").select(F.col("r").alias("kr"), F.col("nr").alias("knr"), (F.col("r") + F.col("upto") - F.col("low")).alias("new"), ((F.col("n") > 1) & (F.col("nr").isNotNull() if h else F.size("nr") == FIRST)).alias("still"))
-        ranked = rows.join(placed, (rows["r"] == placed["kr"]) & rows["nr"].eqNullSafe(placed["knr"]))
+        placed = keys.join(starts, "r").select(F.col("r").alias("kr"), F.col("nr").alias("knr"), (F.col("r") + F.col("upto") - F.col("low")).alias("new"), ((F.col("n") > 1) & (F.element_at("nr", -1).isNotNull() if h else F.size("nr") == FIRST)).alias("still"))
+        ranked = rows.join(placed, (rows["r"] == placed["kr"]) & (rows["nr"] == placed["knr"]))
         moved = ranked.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("off", F.struct("new", "still")))).alias("m"))
         joined = state.join(moved, KEY, "left")
         state = K.materialise(
@@ -101,7 +101,7 @@ def suffix_ranks(segs: DataFrame) -> DataFrame:
         )
         if not state.where(F.exists("open", lambda x: x)).limit(1).count():
             return state.select(*KEY, F.posexplode("ranks").alias("off", "r"))
-        h = 2 * h or FIRST
+        h = STEP * h or FIRST
 
 
 def common_prefixes(segs: DataFrame, array: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.text import folded
 from ..sources.shared import kept
 from .chunks import prefix_sum, prefix_sums
 
@@ -20,11 +21,17 @@ def _violation(rows: DataFrame, rule: str, entity: Column, detail: Column) -> Da
     return rows.select(F.lit(rule).alias("rule"), entity.cast("string").alias("entity"), detail.cast("string").alias("detail"))
 
 
+def rule_violations(rows: DataFrame, entity: Column, rules: dict[str, Column]) -> DataFrame:
+    """(rule, entity, detail) of each row and rule whose condition isn't true; a null condition isn't."""
+    named = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
+    return rows.select(F.explode(named).alias("rule"), entity.cast("string").alias("entity")).select("rule", "entity", F.lit("not met").alias("detail"))
+
+
 def path_violations(entries: DataFrame, path: str, is_dir: str | None = None) -> DataFrame:
-    """Paths that aren't portable, that collide when case is folded (ASCII and simple mappings), or lack their parent."""
+    """Paths that aren't portable, that collide when composed and case-folded, or lack their parent."""
     p = F.col(path)
     bad = _violation(entries.where(~C.portable_path(p)), "path", p, F.lit("not portable"))
-    twice = entries.groupBy(F.lower(p).alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    twice = entries.groupBy(folded(p).alias("k")).agg(F.count("*").alias("n")).where("n > 1")
     out = bad.unionAll(_violation(twice, "collision", F.col("k"), F.col("n")))
     if is_dir:
         parent = F.regexp_extract(p, "^(.*)/[^/]*$", 1)

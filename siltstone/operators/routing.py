@@ -28,7 +28,7 @@ def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, at):
-            s = N.statistics(*N.buffers(part.column(at))) if profile == "balanced" else None
+            s = N.statistics(*N.buffers(part.column(at)), {"delta_smoothness_ratio", "entropy_bits_per_byte"}) if profile == "balanced" else None
             modes, payloads, sizes = [], [], []
             for i, block in enumerate(part.column(at).to_pylist()):
                 block = block or b""
@@ -71,15 +71,15 @@ def trial_sizes(blocks: DataFrame, key: list[str], content: str) -> DataFrame:
     return base.mapInArrow(apply, schema)
 
 
-def sampled_lanes(blocks: DataFrame, key: list[str], content: str) -> DataFrame:
-    """(key..., lane) where windows of long blocks decide unless they are ambiguous."""
-    base = blocks.select(*key, F.col(content).cast("binary").alias("_content"))
+def sampled_lanes(blocks: DataFrame, key: list[str], content: str, keep: bool = False) -> DataFrame:
+    """(key...[, content], lane) where windows of long blocks decide unless they are ambiguous."""
+    base = blocks.select(*key, F.col(content).cast("binary").alias(content))
     at = len(key)
-    schema = T.StructType([*(base.schema[k] for k in key), T.StructField("lane", T.StringType())])
+    schema = T.StructType([*(base.schema[k] for k in key), *[T.StructField(content, T.BinaryType())] * keep, T.StructField("lane", T.StringType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, at):
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array([N.LANES[N.sampled_lane(b or b"")] for b in part.column(at).to_pylist()], pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: at + keep], pa.array([N.LANES[N.sampled_lane(b or b"")] for b in part.column(at).to_pylist()], pa.string())], schema.names)
 
     return base.mapInArrow(apply, schema)
 
@@ -117,15 +117,16 @@ def open_lanes(lanes: DataFrame, group: str) -> DataFrame:
     return lanes.select(group, "lane", "sizes", "payload").mapInArrow(apply, schema)
 
 
-def seal(payload: Column, key: Column, frame: Column) -> Column:
-    """AES-GCM of a payload under a 16, 24 or 32-byte key; the frame number is the nonce and is authenticated."""
-    nonce = F.unhex(F.lpad(F.hex(frame.cast("bigint")), 24, "0"))
-    return F.aes_encrypt(payload, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, F.hex(frame.cast("bigint")))
+def seal(payload: Column, key: Column, frame: Column, prefix: bytes, bound: Column) -> Column:
+    """AES-GCM of a payload under a 16, 24 or 32-byte key. The nonce is the archive's random prefix of 4 bytes and the frame
+    number, which must be unique under the key; bound, text that says what the payload is, is authenticated with it."""
+    nonce = F.concat(F.lit(prefix), F.unhex(F.lpad(F.hex(frame.cast("bigint")), 16, "0")))
+    return F.aes_encrypt(payload, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, F.encode(bound, "utf-8"))
 
 
-def unseal(sealed: Column, key: Column, frame: Column) -> Column:
-    """The payload, or null where the seal is broken or belongs to another frame."""
-    return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), F.hex(frame.cast("bigint")))
+def unseal(sealed: Column, key: Column, bound: Column) -> Column:
+    """The payload, or null where the seal is broken or belongs to something else."""
+    return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), F.encode(bound, "utf-8"))
 
 
 def derive_key(password: str, salt: bytes, log_n: int = 15) -> bytes:

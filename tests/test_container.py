@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,8 +29,45 @@ def test_archive(spark, tmp_path, password):
     if password:
         with pytest.raises(ValueError, match="sealed"):
             container.read(spark, target)
-        with pytest.raises(Exception, match="wrong password"):
-            container.read(spark, target, "another").collect()
+        with pytest.raises(ValueError, match="wrong password"):
+            container.read(spark, target, "another")
+
+
+@pytest.mark.parametrize("password", [None, "a long secret"])
+def test_archive_as_a_whole(spark, tmp_path, password):
+    """A row dropped, doubled, exchanged or changed in any table, and a changed header, are noticed before anything is read."""
+    noise = random.Random(2).randbytes(30_000)
+    seen = []
+    container.write(spark.createDataFrame([("a", noise), ("b", noise[:9000]), ("c", b"")], "path string, content binary"), f"{tmp_path}/whole", password, (256, 1024, 4096), log_n=14, each_unique=lambda u: seen.append(u.count()))
+    assert seen == [spark.read.parquet(f"{tmp_path}/whole/chunks").count()]
+    swap = F.when(F.col("frame") == 0, 1).when(F.col("frame") == 1, 0).otherwise(F.col("frame"))
+    damage = {
+        "dropped": ("chunks", lambda t: t.where("frame > 0")), "exchanged": ("chunks", lambda t: t.withColumn("frame", swap.cast("bigint"))), "changed": ("chunks", lambda t: t.withColumn("payload", F.when(F.col("frame") == 2, F.concat("payload", F.lit(b"x"))).otherwise(F.col("payload")))),
+        "doubled": ("occurrences", lambda t: t.unionAll(t.limit(1))), "entry": ("entries", lambda t: t.where("path <> 'c'")), "footer": ("footer", lambda t: t.withColumn("rows", F.when(F.col("name") == "chunks", F.col("rows") - 1).otherwise(F.col("rows")))), "header": ("header", lambda t: t.withColumn("profile", F.lit("fast"))), "version": ("header", lambda t: t.withColumn("version", F.lit(9))),
+    }
+    for name, (table, change) in damage.items():
+        shutil.copytree(f"{tmp_path}/whole", f"{tmp_path}/{name}")
+        rows = change(spark.read.parquet(f"{tmp_path}/whole/{table}"))
+        shutil.rmtree(f"{tmp_path}/{name}/{table}")
+        rows.write.parquet(f"{tmp_path}/{name}/{table}")
+        with pytest.raises(ValueError, match="not what was written|damaged footer|bad header"):
+            container.read(spark, f"{tmp_path}/{name}", password)
+    assert container.read(spark, f"{tmp_path}/whole", password).where("intact").count() == 3
+
+
+def test_large_archive(spark, tmp_path):
+    """As many chunks as entries, over many partitions: every one is stored and read again."""
+    entries = spark.range(60_000).select(F.concat(F.lit("d/"), "id").alias("path"), F.encode(F.sha2(F.col("id").cast("string"), 512), "utf-8").alias("content"))
+    container.write(entries, f"{tmp_path}/many", None, (256, 1024, 4096), "fast")
+    assert spark.read.parquet(f"{tmp_path}/many/chunks").count() == 60_000
+    assert container.read(spark, f"{tmp_path}/many").where("intact").count() == 60_000
+
+
+def test_option_ranges(spark, tmp_path):
+    entries = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    for options in ({"log_n": 9}, {"log_n": 30}, {"profile": "none"}, {"sizes": (64, 100, 512)}):
+        with pytest.raises(ValueError):
+            container.write(entries, f"{tmp_path}/no", **options)
 
 
 def test_reports(spark):

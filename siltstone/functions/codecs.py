@@ -7,6 +7,7 @@ bytes raises Malformed. Ties between candidates go to the first in registry orde
 from __future__ import annotations
 
 import lzma
+import math
 import random
 import struct
 import zlib
@@ -354,10 +355,24 @@ CODECS: dict[str, Codec] = {
 }
 
 
+def rans_least(block: bytes) -> int:
+    """A size that BYTE_RANS never goes below: its table, its state, and the bits of the scaled frequencies less what the state
+    holds."""
+    counts = np.bincount(np.frombuffer(block, np.uint8), minlength=256)
+    f = frequencies({s: c for s, c in enumerate(counts.tolist()) if c})
+    bits = sum(int(counts[s]) * (12 - math.log2(n)) for s, n in f.items())
+    return 6 + 3 * len(f) + max(0, math.ceil((bits - 8 - 1e-6 * len(block)) / 8) - 1)
+
+
 def smallest(block: bytes, names: list[str] | None = None) -> tuple[str, bytes]:
-    """(codec, payload) with the shortest payload among the named codecs, all by default."""
-    tried = [(name, c.encode(block)) for name, c in CODECS.items() if names is None or name in names]
-    return min(tried, key=lambda x: len(x[1]))
+    """(codec, payload) with the shortest payload among the named codecs, all by default; the first of the registry of equals.
+    BYTE_RANS isn't tried where another payload is below the least that it can give."""
+    order = [n for n in CODECS if names is None or n in names]
+    tried = {n: CODECS[n].encode(block) for n in order if n != "BYTE_RANS"}
+    if "BYTE_RANS" in order and (not tried or not block or rans_least(block) <= min(map(len, tried.values()))):
+        tried["BYTE_RANS"] = rans_encode(block)
+    best = min((n for n in order if n in tried), key=lambda n: len(tried[n]))
+    return best, tried[best]
 
 
 def delta4(block: bytes) -> bytes:

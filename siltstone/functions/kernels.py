@@ -70,39 +70,49 @@ def run_pairs(data: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner[start], weights=-(-length // 255), minlength=n).astype(np.int64)
 
 
-def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Every block statistic by name; all are 0 for an empty row."""
+def statistics(data: np.ndarray, off: np.ndarray, wanted: set[str] | None = None) -> dict[str, np.ndarray]:
+    """Every block statistic by name, or size and the wanted ones; all are 0 for an empty row."""
     n, size = len(off) - 1, np.diff(off)
     owner = np.repeat(np.arange(n), size)
-    counts = histogram(data, off)
     some = np.maximum(size, 1)
-    near = np.flatnonzero(owner[1:] == owner[:-1])
-    delta = data[near + 1] - data[near]  # wraps
-    smooth = np.bincount(owner[near], weights=(delta <= 3) | (delta >= 253), minlength=n)
-    far = np.flatnonzero(owner[4:] == owner[:-4])
-    wide = np.bincount(owner[far] * 256 + (data[far + 4] - data[far]), minlength=n * 256).reshape(n, 256)
-    possible = size - 3
-    stride = np.maximum(1, possible // 4096)
-    begin = np.flatnonzero(owner[3:] == owner[:-3]) if len(data) > 3 else np.zeros(0, np.int64)
-    begin = begin[(begin - off[owner[begin]]) % stride[owner[begin]] == 0]
-    x = data.astype(np.int64)
-    gram = (x[begin] << 24) | (x[begin + 1] << 16) | (x[begin + 2] << 8) | x[begin + 3] if len(begin) else begin
-    grams = np.bincount(owner[begin], minlength=n)
-    kinds = np.bincount(np.unique((owner[begin] << 32) | gram) >> 32, minlength=n) if len(begin) else np.zeros(n, np.int64)
-    out = {
-        "size": size,
-        "entropy_bits_per_byte": _entropy(counts, size),
-        "byte_repetition_ratio": np.where(size > 0, 1 - (counts > 0).sum(axis=1) / some, 0.0),
-        "substring_repetition_ratio": np.where(size >= 8, 1 - kinds / np.maximum(grams, 1), 0.0),
-        "delta_smoothness_ratio": np.where(size > 1, smooth / np.maximum(size - 1, 1), 0.0),
-        "ascii_ratio": counts[:, _ascii].sum(axis=1) / some,
-        "zero_ratio": counts[:, 0] / some,
-        "small_symbol_ratio": counts[:, :16].sum(axis=1) / some,
-        "delta4_entropy": _entropy(wide, size - 4),
-        "rle_size": 2 * run_pairs(data, owner, n),
-        "delta8_size": (size > 0) + 2 * run_pairs(delta, owner[near], n),
-    }
-    out["random_looking"] = (size >= 1024) & (out["entropy_bits_per_byte"] >= 7.85) & (out["substring_repetition_ratio"] <= 0.02) & (out["delta_smoothness_ratio"] <= 0.08)
+    need = lambda *names: wanted is None or any(x in wanted for x in names)
+    random = need("random_looking")
+    out = {"size": size}
+    if random or need("entropy_bits_per_byte", "byte_repetition_ratio", "ascii_ratio", "zero_ratio", "small_symbol_ratio"):
+        counts = histogram(data, off)
+        out["entropy_bits_per_byte"] = _entropy(counts, size)
+        out["byte_repetition_ratio"] = np.where(size > 0, 1 - (counts > 0).sum(axis=1) / some, 0.0)
+        out["ascii_ratio"] = counts[:, _ascii].sum(axis=1) / some
+        out["zero_ratio"] = counts[:, 0] / some
+        out["small_symbol_ratio"] = counts[:, :16].sum(axis=1) / some
+    if random or need("delta_smoothness_ratio", "delta8_size"):
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        delta = data[near + 1] - data[near]  # wraps
+        if random or need("delta_smoothness_ratio"):
+            smooth = np.bincount(owner[near], weights=(delta <= 3) | (delta >= 253), minlength=n)
+            out["delta_smoothness_ratio"] = np.where(size > 1, smooth / np.maximum(size - 1, 1), 0.0)
+        if need("delta8_size"):
+            out["delta8_size"] = (size > 0) + 2 * run_pairs(delta, owner[near], n)
+    if need("delta4_entropy"):
+        far = np.flatnonzero(owner[4:] == owner[:-4])
+        wide = np.bincount(owner[far] * 256 + (data[far + 4] - data[far]), minlength=n * 256).reshape(n, 256)
+        out["delta4_entropy"] = _entropy(wide, size - 4)
+    if random or need("substring_repetition_ratio"):
+        stride = np.maximum(1, (size - 3) // 4096)
+        begin = np.flatnonzero(owner[3:] == owner[:-3]) if len(data) > 3 else np.zeros(0, np.int64)
+        begin = begin[(begin - off[owner[begin]]) % stride[owner[begin]] == 0]
+        grams = np.bincount(owner[begin], minlength=n)
+        kinds = np.zeros(n, np.int64)
+        if len(begin):
+            x = data.astype(np.int64)
+            keys = (owner[begin] << 32) | (x[begin] << 24) | (x[begin + 1] << 16) | (x[begin + 2] << 8) | x[begin + 3]
+            keys.sort()
+            kinds = np.bincount(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> 32, minlength=n)
+        out["substring_repetition_ratio"] = np.where(size >= 8, 1 - kinds / np.maximum(grams, 1), 0.0)
+    if need("rle_size"):
+        out["rle_size"] = 2 * run_pairs(data, owner, n)
+    if random:
+        out["random_looking"] = (size >= 1024) & (out["entropy_bits_per_byte"] >= 7.85) & (out["substring_repetition_ratio"] <= 0.02) & (out["delta_smoothness_ratio"] <= 0.08)
     return out
 
 

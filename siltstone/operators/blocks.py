@@ -23,20 +23,25 @@ def fixed_blocks(entries: DataFrame, block: int, content: str = "content") -> Da
     return numbered.select(*(c for c in entries.columns if c != content), "block_no", F.substring(F.col(content), F.col("block_no") * block + 1, F.lit(block)).alias("bytes"))
 
 
-def block_statistics(entries: DataFrame, key: str, content: str) -> DataFrame:
-    """A row per entry: key, size, the seven features, random_looking, delta4_entropy, rle_size, delta8_size and lane.
+def block_statistics(entries: DataFrame, key: str, content: str, wanted: list[str] | None = None) -> DataFrame:
+    """A row per entry: key, size, the seven features, delta4_entropy, random_looking, rle_size, delta8_size and lane; of those
+    after size only the wanted ones, if named, are worked out.
 
     Null content counts as empty: every statistic 0, lane standard. Rows are independent, so this never shuffles.
     """
     base = entries.select(F.col(key), F.col(content).alias("_content"))
-    schema = T.StructType([T.StructField(key, base.schema[key].dataType), T.StructField("size", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in STATISTICS), T.StructField("random_looking", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("rle_size", "delta8_size")), T.StructField("lane", T.StringType())])
-    names = np.array(N.LANES, dtype=object)
+    kinds = {**{n: T.DoubleType() for n in STATISTICS}, "random_looking": T.BooleanType(), "rle_size": T.LongType(), "delta8_size": T.LongType(), "lane": T.StringType()}
+    names = [n for n in kinds if wanted is None or n in wanted]
+    schema = T.StructType([T.StructField(key, base.schema[key].dataType), T.StructField("size", T.LongType()), *(T.StructField(n, kinds[n]) for n in names)])
+    worked = {*names, "entropy_bits_per_byte", "delta4_entropy"} if "lane" in names else set(names)
+    lanes = np.array(N.LANES, dtype=object)
+    arrow = {T.DoubleType(): np.float64, T.BooleanType(): bool, T.LongType(): np.int64}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, 1):
-            s = N.statistics(*N.buffers(part.column(1)))
-            lanes = pa.array(names[N.exact_lanes(s)].tolist(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s[n].astype(k)) for n, k in [("size", np.int64), *((n, np.float64) for n in STATISTICS), ("random_looking", bool), ("rle_size", np.int64), ("delta8_size", np.int64)]), lanes], schema.names)
+            s = N.statistics(*N.buffers(part.column(1)), worked)
+            columns = [pa.array(lanes[N.exact_lanes(s)].tolist(), pa.string()) if n == "lane" else pa.array(s[n].astype(arrow[kinds[n]])) for n in names]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s["size"].astype(np.int64)), *columns], schema.names)
 
     return base.mapInArrow(apply, schema)
 

@@ -124,21 +124,53 @@ def prefix_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> D
 
 
 def restore(occurrences: DataFrame, unique: DataFrame, key: str) -> DataFrame:
-    """(key, content): entries put together again from the unique (digest, size, bytes) in the order of seq."""
-    joined = occurrences.select(key, "seq", "digest", "size").join(unique.select("digest", "size", "bytes"), ["digest", "size"])
-    parts = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.hex("bytes").alias("h")))).alias("p"))
-    return parts.select(key, F.unhex(F.array_join(F.col("p.h"), "")).alias("content"))
+    """(key, content): entries put together again from the unique (digest, size, bytes) in the order of seq.
+
+    A chunk that unique lacks is an error. Chunks are joined in the sorted partition of their entry, so what a task holds is one
+    entry's bytes.
+    """
+    stored = unique.select(F.col("digest").alias("_d"), F.col("size").alias("_n"), "bytes")
+    parts = occurrences.select(key, "seq", "digest", "size").join(stored, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_n")), "left").select(key, "seq", "bytes")
+    schema = T.StructType([T.StructField(key, occurrences.schema[key].dataType), T.StructField("content", T.BinaryType())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, begun = None, [], False
+        for batch in batches:
+            for row in range(batch.num_rows):
+                who, piece = batch.column(0)[row], batch.column(2)[row].as_py()
+                if piece is None:
+                    raise ValueError(f"entry {who.as_py()!r} lacks a chunk")
+                if not begun or who != held:
+                    if begun:
+                        yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], batch.schema.field(0).type), pa.array([b"".join(parts)], pa.binary())], schema.names)
+                    held, parts, begun = who, [], True
+                parts.append(piece)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], held.type), pa.array([b"".join(parts)], pa.binary())], schema.names)
+
+    return parts.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(join, schema)
 
 
 def pack_segments(records: DataFrame, stream: str, order: str, size: str, most: int) -> DataFrame:
-    """records with segment: greedy packing in order, a new segment where the next record would pass most bytes."""
-    base = records.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("r"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("fill"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
+    """(stream, order, size, segment): greedy packing in order, a new segment where the next record would pass most bytes.
 
-    def step(acc: Column, r: Column) -> Column:
-        new = (acc["fill"] > 0) & (acc["fill"] + r[size] > most)
-        seg = acc["seg"] + new.cast("int")
-        return F.struct(F.when(new, r[size].cast("bigint")).otherwise(acc["fill"] + r[size]).alias("fill"), seg.alias("seg"), F.concat(acc["out"], F.array(seg)).alias("out"))
+    A pass over the sorted partitions, linear and with no list of a stream's records; a null size counts as 0.
+    """
+    base = records.select(stream, order, size)
+    schema = T.StructType([*base.schema.fields, T.StructField("segment", T.IntegerType())])
 
-    packed = base.select(stream, F.arrays_zip("r", F.aggregate("r", zero, step, lambda a: a["out"]).alias("segment")).alias("x"))
-    return packed.select(stream, F.explode("x").alias("x")).select(stream, F.col(f"x.r.{order}").alias(order), F.col(f"x.r.{size}").alias(size), F.col("x.segment").alias("segment"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fill, segment, begun = None, 0, 0, False
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int32)
+            for row, (who, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if not begun or who != held:
+                    held, fill, segment, begun = who, 0, 0, True
+                n = n or 0
+                if fill and fill + n > most:
+                    fill, segment = 0, segment + 1
+                fill += n
+                out[row] = segment
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], schema.names)
+
+    return base.repartition(stream).sortWithinPartitions(stream, order).mapInArrow(pack, schema)

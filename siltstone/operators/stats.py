@@ -36,8 +36,10 @@ def median_mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Linearly interpolated exact percentiles by name; the counts of distinct values are what a group keeps in memory."""
-    return rows.groupBy(*by).agg(*(F.expr(f"percentile({value}, {s})").alias(name) for name, s in shares.items()))
+    """Linearly interpolated exact percentiles by name. Rows are counted by value before they are shuffled; the counts of distinct
+    values are what a group keeps in memory."""
+    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*by).agg(*(F.expr(f"percentile(_v, {s}, _n)").alias(name) for name, s in shares.items()))
 
 
 def run_summary(runs: DataFrame, by: list[str], same: list[str], timings: list[str], peaks: list[str], size: str) -> DataFrame:
@@ -128,6 +130,37 @@ def bootstrap(cases: DataFrame, key: str, resamples: int = RESAMPLES, confidence
     return base.mapInArrow(apply, f"{key} {kind}, ratio_median double, lower double, upper double, passed boolean")
 
 
+def index_stream(cases: DataFrame, key: str, count: int, below: int) -> DataFrame:
+    """(key, i, pick): the first count indices of each case's stream."""
+    kind = cases.schema[key].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, material in enumerate(batch.column(1).to_pylist()):
+                picks = indices(material, count, below).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], count), pa.array(np.arange(count)), pa.array(picks)], [key, "i", "pick"])
+
+    return cases.select(key, "material").mapInArrow(apply, f"{key} {kind}, i bigint, pick int")
+
+
+def _distance(name: str):
+    return lambda v: F.abs(v - F.col(name))
+
+
+def sides(cases: DataFrame) -> DataFrame:
+    """cases with the median and the unscaled median absolute deviation of both sides' samples, null for no samples."""
+
+    def median(x: Column) -> Column:
+        ordered, n = F.array_sort(x), F.size(x)
+        return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+    out = cases
+    for side in ("candidate", "comparator"):
+        out = out.withColumn(f"{side}_median", median(F.col(side)))
+        out = out.withColumn(f"{side}_mad", median(F.transform(side, _distance(f"{side}_median"))))
+    return out
+
+
 def overall(verdicts: DataFrame, *by: str) -> DataFrame:
     """Whether all verdicts passed, and how many did."""
     return verdicts.groupBy(*by).agg(F.bool_and("passed").alias("passed"), F.count_if("passed").alias("passed_count"), F.count("*").alias("total"))

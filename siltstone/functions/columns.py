@@ -22,6 +22,19 @@ def padded(size: Column, block: int) -> Column:
     return ((size + 8 + block - 1) / block).cast("bigint") * block
 
 
+def pad(content: Column, block: int) -> Column:
+    """The content behind its length, 8 big-endian bytes, and zeros up to whole blocks."""
+    size = F.octet_length(content).cast("bigint")
+    fill = (padded(size, block) - 8 - size).cast("int")
+    return F.concat(F.unhex(F.lpad(F.hex(size), 16, "0")), content, F.unhex(F.repeat(F.lit("00"), fill)))
+
+
+def unpad(padded_content: Column, block: int) -> Column:
+    """The content of pad(); null where the size isn't one that pad() gives."""
+    size, size_all = F.conv(F.hex(F.substring(padded_content, 1, 8)), 16, 10).cast("bigint"), F.octet_length(padded_content)
+    return F.when((size_all >= 8) & (size_all == padded(size, block)), F.substring(padded_content, F.lit(9), size.cast("int")))
+
+
 def varint_length(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import canonical_json
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """(json) of every row, its keys in alphabetical order."""
-    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
+    """(json) of every row, its keys in alphabetical order; nulls are left out, keys of maps are sorted."""
+    value = lambda c: F.map_from_entries(F.array_sort(F.map_entries(c))).alias(c) if isinstance(rows.schema[c].dataType, T.MapType) else F.col(c)
+    return rows.select(F.to_json(F.struct(*map(value, sorted(rows.columns)))).alias("json"))
 
 
 def canonical_digest(*fields: str) -> Column:
-    """SHA-256 of the compact JSON of the fields in alphabetical order; nulls are left out."""
-    return F.sha2(F.encode(F.to_json(F.struct(*sorted(fields))), "utf-8"), 256)
+    """SHA-256 of the compact JSON of the fields, keys sorted at every depth, nulls as null."""
+    return F.sha2(F.encode(canonical_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), "utf-8"), 256)
 
 
 def as_markdown(rows: DataFrame, order: list[str]) -> str:

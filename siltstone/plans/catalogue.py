@@ -47,8 +47,8 @@ f AS (SELECT doc_id, lang, source, n AS size, coalesce(list_aggregate(h, 'entrop
   CASE WHEN n <= 4 THEN 0 ELSE list_aggregate(list_transform(range(4, n), lambda i: (v[i + 1] - v[i - 3] + 256) % 256), 'entropy') END AS delta4 FROM v)"""
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.block_statistics(S.documents(spark, sf_dir), "doc_id", "content")
+def _stats(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    return blocks.block_statistics(S.documents(spark, sf_dir), "doc_id", "content", list(wanted))
 
 
 @_query("""
@@ -96,7 +96,7 @@ SELECT doc_id, size, round(entropy, 6) AS entropy_bits_per_byte, round(byte_repe
   round(smoothness, 6) AS delta_smoothness_ratio, round(ascii, 6) AS ascii_ratio, round(zero, 6) AS zero_ratio, round(small, 6) AS small_symbol_ratio, round(delta4, 6) AS delta4_entropy,
   size >= 1024 AND entropy >= 7.85 AND substring_repetition <= 0.02 AND smoothness <= 0.08 AS random_looking FROM f""")
 def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_stats(spark, sf_dir).drop("rle_size", "delta8_size", "lane"), *blocks.STATISTICS)
+    return _rounded(_stats(spark, sf_dir, *blocks.STATISTICS, "random_looking"), *blocks.STATISTICS)
 
 
 @_query(f"""WITH {_STATS}
@@ -105,23 +105,23 @@ SELECT lang, round(avg(entropy), 6) AS entropy_bits_per_byte, round(avg(byte_rep
   avg(CASE WHEN size >= 1024 AND entropy >= 7.85 AND substring_repetition <= 0.02 AND smoothness <= 0.08 THEN 1.0 ELSE 0.0 END) AS random_looking_ratio FROM f GROUP BY lang""")
 def avg_features_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.documents(spark, sf_dir).select(F.col("lang").alias("key"), "content")
-    return _rounded(blocks.average_features(blocks.block_statistics(docs, "key", "content"), "key").withColumnRenamed("key", "lang"), *N.FEATURES)
+    return _rounded(blocks.average_features(blocks.block_statistics(docs, "key", "content", [*N.FEATURES, "random_looking"]), "key").withColumnRenamed("key", "lang"), *N.FEATURES)
 
 
 @_query(f"WITH {_STATS} SELECT doc_id, CASE WHEN entropy >= 7.75 THEN 'high_entropy' WHEN entropy >= 3 AND entropy - delta4 >= 2 THEN 'delta4' ELSE 'standard' END AS lane FROM f")
 def lane_router_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).select("doc_id", "lane")
+    return _stats(spark, sf_dir, "lane").select("doc_id", "lane")
 
 
 @_query(f"WITH {_STATS} SELECT CASE WHEN entropy >= 7.75 THEN 'high_entropy' WHEN entropy >= 3 AND entropy - delta4 >= 2 THEN 'delta4' ELSE 'standard' END AS lane, count(*) AS n, CAST(sum(size) AS BIGINT) AS raw_bytes FROM f GROUP BY 1")
 def lane_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("n"), F.sum("size").alias("raw_bytes"))
+    return _stats(spark, sf_dir, "lane").groupBy("lane").agg(F.count("*").alias("n"), F.sum("size").alias("raw_bytes"))
 
 
 @_query(f"WITH {_STATS} SELECT doc_id, 'RAW,RLE,' || CASE WHEN smoothness >= 0.55 THEN 'DELTA8,' ELSE '' END || CASE WHEN size >= 256 AND entropy < 7.75 THEN 'BYTE_RANS,' ELSE '' END || 'DEFLATE' AS codecs FROM f")
 def candidate_codecs_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = blocks.candidate_codecs(F.col("delta_smoothness_ratio"), F.col("size"), F.col("entropy_bits_per_byte"))
-    return _stats(spark, sf_dir).select("doc_id", F.array_join(names, ",").alias("codecs"))
+    return _stats(spark, sf_dir, "delta_smoothness_ratio", "entropy_bits_per_byte").select("doc_id", F.array_join(names, ",").alias("codecs"))
 
 
 @_query(f"""
@@ -132,7 +132,7 @@ r AS (SELECT doc_id, CAST(sum(2 * ceil(c / 255.0)) AS BIGINT) AS rle_size FROM (
 t AS (SELECT doc_id, CAST(sum(2 * ceil(c / 255.0)) AS BIGINT) AS steps FROM (SELECT doc_id, count(*) AS c FROM g WHERE d IS NOT NULL GROUP BY doc_id, d, s) GROUP BY 1)
 SELECT doc_id, coalesce(rle_size, 0) AS rle_size, CASE WHEN rle_size IS NULL THEN 0 ELSE 1 + coalesce(steps, 0) END AS delta8_size FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def run_length_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).select("doc_id", "rle_size", "delta8_size")
+    return _stats(spark, sf_dir, "rle_size", "delta8_size").select("doc_id", "rle_size", "delta8_size")
 
 
 @_query("""SELECT source, CAST(sum(n) AS BIGINT) AS raw_bytes, CAST(sum(p) AS BIGINT) AS padded_bytes, CAST(sum(p - n) AS BIGINT) AS overhead_bytes
@@ -208,11 +208,14 @@ def size_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH c AS (SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / {FRAME}.0) AS BIGINT) AS n FROM documents),
-s AS (SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM c)
-SELECT 'range' AS rule, CAST(doc_id AS VARCHAR) AS entity, '1' AS detail FROM s WHERE doc_id % 101 = 7""")
+WITH c AS (SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / {FRAME}.0) AS BIGINT) AS n, doc_id % 101 = 7 AS damaged FROM documents),
+s AS (SELECT doc_id, n + CASE WHEN doc_id % 103 = 9 THEN 1 ELSE 0 END AS counted, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + CAST(damaged AS BIGINT) AS first_frame FROM c),
+t AS (SELECT doc_id, first_frame - CAST(coalesce(sum(counted) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM s)
+SELECT 'range' AS rule, CAST(doc_id AS VARCHAR) AS entity, CAST(off AS VARCHAR) AS detail FROM t WHERE off <> 0""")
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' frames, some with another beginning; and some counts are wrong, which moves all that follow."""
     rows = frame_layout(spark, sf_dir).withColumn("first_frame", F.col("first_frame") + (F.pmod("doc_id", F.lit(101)) == 7).cast("int"))
+    rows = rows.withColumn("frame_count", F.col("frame_count") + (F.pmod("doc_id", F.lit(103)) == 9).cast("int"))
     return manifests.range_violations(rows, "doc_id", "first_frame", "frame_count")
 
 
@@ -224,9 +227,13 @@ def limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.limit_violations(frames, "event_id", "size", 300_000, 9_000)
 
 
-@_query("""SELECT 'order' AS rule, conv_id || ':' || turn AS entity, CAST(w AS VARCHAR) AS detail FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS w FROM conversations) WHERE turn <> w""")
+@_query("""WITH f AS (SELECT conv_id, turn + CASE WHEN conv_id % 7 = 3 AND turn >= 1 THEN 2 ELSE 0 END AS turn FROM conversations WHERE NOT (conv_id % 11 = 5 AND turn = 0))
+SELECT 'order' AS rule, conv_id || ':' || turn AS entity, CAST(w AS VARCHAR) AS detail FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS w FROM f) WHERE turn <> w""")
 def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.order_violations(S.table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    """Turns as frames; some conversations lack their first, others skip two."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    frames = S.table(spark, sf_dir, "conversations").where(~((conv % 11 == 5) & (turn == 0))).withColumn("turn", turn + F.when((conv % 7 == 3) & (turn >= 1), 2).otherwise(0))
+    return manifests.order_violations(frames, "conv_id", "turn")
 
 
 @_query("SELECT 'dependency' AS rule, source AS entity, CAST(count(DISTINCT lang) AS VARCHAR) AS detail FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
@@ -241,13 +248,15 @@ def declared_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH p AS (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN (SELECT n_nationkey AS c_nationkey FROM nation) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)),
+WITH p AS (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer UNION SELECT 'UNUSED') CROSS JOIN (SELECT n_nationkey AS c_nationkey FROM nation WHERE n_regionkey <> 1) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders)),
 h AS (SELECT DISTINCT c_mktsegment, c_nationkey, o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey)
 SELECT *, 'missing' AS status FROM (SELECT * FROM p EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM h EXCEPT SELECT * FROM p)""")
 def matrix_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = S.table(spark, sf_dir, "customer"), S.table(spark, sf_dir, "orders")
+    """Orders by segment, nation and priority against a declared matrix with a segment too many and a region too few."""
+    customer, orders, nation = (S.table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
     found = customer.join(orders, customer["c_custkey"] == orders["o_custkey"])
-    return manifests.incomplete(found, customer.select("c_mktsegment").distinct(), S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey")), orders.select("o_orderpriority").distinct())
+    segments = customer.select("c_mktsegment").union(spark.range(1).select(F.lit("UNUSED"))).distinct()
+    return manifests.incomplete(found, segments, nation.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey")), orders.select("o_orderpriority").distinct())
 
 
 @_query("SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, median(l_quantity) AS median, mad(l_quantity) AS mad FROM lineitem GROUP BY ALL")
@@ -327,27 +336,99 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("l_suppkey", stats.stream_material(F.lit("zstd_raw")).alias("material"), F.col("x.a").alias("candidate"), F.col("x.b").alias("comparator"))
 
 
-@_query()
+def _material(*fields: str) -> str:
+    return " || ".join(f"unhex(lpad(hex(strlen({f})), 8, '0')) || encode({f})" for f in fields)
+
+
+_RUNS = f"""
+runs AS (SELECT l_suppkey, l_orderkey % {stats.MEASURED} AS run, sum(l_quantity) / 25 AS a, CAST(count(*) AS DOUBLE) AS b FROM lineitem GROUP BY ALL),
+cases AS (SELECT l_suppkey, list(a ORDER BY run) AS candidate, list(b ORDER BY run) AS comparator FROM runs GROUP BY l_suppkey HAVING count(*) = {stats.MEASURED}),
+named AS (SELECT *, hex({_material(f"'{stats.STREAM_DOMAIN}'", "sha256('contract')", "sha256('manifest')", "'supplier-' || l_suppkey", "sha256('input')", "'67108864'", "'8'", "'encode_wall_seconds'", "'zstd_raw'")}) AS material FROM cases)"""
+
+
+def _indices(count: int, below: int) -> str:
+    """The index streams of named(l_suppkey, material): (l_suppkey, i, pick); a quarter and eight blocks more than needed are hashed."""
+    return f"""
+blocks AS (SELECT l_suppkey, c, sha256(unhex(material || lpad(hex(c), 16, '0'))) AS h FROM named, range({count // 4 + 9}) r(c)),
+words AS (SELECT l_suppkey, c * 4 + k AS w, CAST('0x' || substr(h, CAST(k * 16 + 1 AS BIGINT), 16) AS UBIGINT) AS word FROM blocks, range(4) q(k)),
+fine AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY w) - 1 AS i, CAST(word % {below} AS INTEGER) AS pick FROM words WHERE word < {(1 << 64) - (1 << 64) % below}),
+picks AS (SELECT * FROM fine WHERE i < {count})"""
+
+
+@_query(f"WITH {_RUNS},{_indices(64, stats.MEASURED)} SELECT l_suppkey, i, pick FROM picks")
+def bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 indices of every supplier's stream."""
+    return stats.index_stream(_samples(spark, sf_dir), "l_suppkey", 64, stats.MEASURED)
+
+
+_INTERVALS = f"""WITH {_RUNS},{_indices(stats.RESAMPLES * stats.MEASURED, stats.MEASURED)},
+ratios AS (SELECT l_suppkey, list_transform(list_zip(candidate, comparator), lambda x: x[1] / x[2]) AS r FROM cases),
+medians AS (SELECT l_suppkey, i // {stats.MEASURED} AS resample, median(r[pick + 1]) AS m FROM picks JOIN ratios USING (l_suppkey) GROUP BY ALL),
+ends AS (SELECT l_suppkey, quantile_cont(m, {(1 - stats.CONFIDENCE) / 2}) AS lower, quantile_cont(m, {1 - (1 - stats.CONFIDENCE) / 2}) AS upper FROM medians GROUP BY l_suppkey),
+verdicts AS (SELECT l_suppkey, list_aggregate(r, 'median') AS ratio_median, lower, upper, upper < 1 AS passed FROM ends JOIN ratios USING (l_suppkey))"""
+
+
+@_query(f"{_INTERVALS} SELECT l_suppkey, round(ratio_median, 9) AS ratio_median, round(lower, 9) AS lower, round(upper, 9) AS upper, passed FROM verdicts")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap(_samples(spark, sf_dir), "l_suppkey")
+    return _rounded(stats.bootstrap(_samples(spark, sf_dir), "l_suppkey"), "ratio_median", "lower", "upper", to=9)
 
 
-@_query()
+@_query(f"{_INTERVALS} SELECT bool_and(passed) AS passed, count_if(passed) AS passed_count, count(*) AS total FROM verdicts")
 def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.overall(bootstrap_ci(spark, sf_dir))
+    return stats.overall(stats.bootstrap(_samples(spark, sf_dir), "l_suppkey"))
 
 
-@_query()
+@_query(f"""WITH {_RUNS}
+SELECT l_suppkey, round(list_aggregate(candidate, 'median'), 9) AS candidate_median, round(list_aggregate(candidate, 'mad'), 9) AS candidate_mad, round(list_aggregate(comparator, 'median'), 9) AS comparator_median, round(list_aggregate(comparator, 'mad'), 9) AS comparator_mad FROM cases""")
+def metric_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["candidate_median", "candidate_mad", "comparator_median", "comparator_mad"]
+    return _rounded(stats.sides(_samples(spark, sf_dir)).select("l_suppkey", *names), *names, to=9)
+
+
+@_query(f"""
+WITH c AS (SELECT lang, CAST('0x' || x AS INTEGER) AS byte, count(*) AS n FROM (SELECT lang, unnest(h) AS x FROM ({_BYTES})) GROUP BY ALL),
+f AS (SELECT *, greatest(1, n * 4096 // t) AS f, n * 4096 % t AS rest FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT) AS t FROM c)),
+s AS (SELECT *, CAST(4096 - sum(f) OVER (PARTITION BY lang) AS BIGINT) AS spare, count(*) OVER (PARTITION BY lang) AS kinds,
+  row_number() OVER (PARTITION BY lang ORDER BY rest DESC, byte) - 1 AS up, row_number() OVER (PARTITION BY lang ORDER BY f DESC, byte) - 1 AS down FROM f),
+p AS (SELECT lang, max(g) AS passes FROM (SELECT lang, g, sum(least(f - 1, g)) AS lost, any_value(-spare) AS want FROM s, range(4096) r(g) WHERE spare < 0 GROUP BY lang, g) WHERE lost <= want GROUP BY lang),
+q AS (SELECT s.*, passes, f - 1 > passes AS more, -spare - sum(least(f - 1, passes)) OVER (PARTITION BY s.lang) AS still, sum(CASE WHEN f - 1 > passes THEN 1 ELSE 0 END) OVER (PARTITION BY s.lang ORDER BY down) AS turn FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang),
+r AS (SELECT lang, byte, n, CAST(CASE WHEN spare >= 0 THEN f + spare // kinds + CASE WHEN up < spare % kinds THEN 1 ELSE 0 END ELSE f - least(f - 1, passes) - CASE WHEN more AND turn <= still THEN 1 ELSE 0 END END AS INTEGER) AS frequency FROM q)
+SELECT *, CAST(coalesce(sum(frequency) OVER (PARTITION BY lang ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM r""")
 def rans_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.scaled_frequencies(byte_histogram(spark, sf_dir), "lang")
 
 
-@_query()
+_LEAST, _AVERAGE, _MOST = CHUNK
+_WINDOW = _AVERAGE.bit_length() - 1
+
+
+def _xor(parts: list[str]) -> str:
+    out = parts[0]
+    for x in parts[1:]:
+        out = f"xor({out}, {x})"
+    return out
+
+
+_partial = " ".join(f"WHEN pos + {_LEAST - 1 + k} < least(n, pos + {_MOST}) AND {_xor([f'(v[CAST(pos + {_LEAST + k - j} AS INTEGER)] << {j})' for j in range(k + 1)])} & {_AVERAGE - 1} = 0 THEN pos + {_LEAST + k}" for k in range(_WINDOW - 1))
+#: Content-defined chunks: gear values from their hashes, places where a full window ends a chunk, and the cuts one after another.
+_CHUNKS = f"""WITH RECURSIVE
+gear AS (SELECT list(v ORDER BY b) AS g FROM (SELECT b, CAST('0x' || left(sha256(encode('{N.GEAR_DOMAIN.decode()}') || unhex(lpad(hex(b), 2, '0'))), 8) AS BIGINT) % {_AVERAGE} AS v FROM range(256) r(b))),
+bytes AS MATERIALIZED (SELECT doc_id, hex(encode(text)) AS x, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: g[CAST('0x' || h AS INTEGER) + 1]) AS v, strlen(text) AS n FROM documents, gear WHERE strlen(text) > 0),
+hits AS MATERIALIZED (SELECT doc_id, v, n, list_filter(range({_WINDOW}, n + 1), lambda i: {_xor([f"(v[i - {j}] << {j})" for j in range(_WINDOW)])} & {_AVERAGE - 1} = 0) AS ends FROM bytes),
+cuts AS (SELECT doc_id, -1 AS seq, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS pos FROM hits
+  UNION ALL SELECT doc_id, seq + 1, pos, CASE WHEN pos + {_LEAST - 1} >= n THEN n {_partial} ELSE least(coalesce(list_filter(ends, lambda e: e >= pos + {_LEAST + _WINDOW - 1})[1], n), pos + {_MOST}, n) END FROM cuts JOIN hits USING (doc_id) WHERE pos < n),
+chunks AS (SELECT doc_id, seq, off, CAST(pos - off AS INTEGER) AS size, sha256(unhex(substr(x, CAST(off * 2 + 1 AS BIGINT), CAST((pos - off) * 2 AS BIGINT)))) AS digest FROM cuts JOIN bytes USING (doc_id) WHERE seq >= 0)"""
+
+
+@_query(f"{_CHUNKS} SELECT doc_id, seq, off, size, digest FROM chunks")
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.content_chunks(S.documents(spark, sf_dir), "doc_id", "content", *CHUNK)
 
 
-@_query()
+@_query(f"""{_CHUNKS},
+m AS (SELECT doc_id, size, row_number() OVER w > 1 AS dup, first_value(doc_id) OVER w AS owner FROM chunks WINDOW w AS (PARTITION BY digest, size ORDER BY doc_id, seq))
+SELECT count(*) AS logical_count, count_if(NOT dup) AS unique_count, count_if(dup) AS duplicate_count, CAST(coalesce(sum(size) FILTER (dup), 0) AS BIGINT) AS saved_bytes,
+  count_if(dup AND owner <> doc_id) AS cross_count, CAST(coalesce(sum(size) FILTER (dup AND owner <> doc_id), 0) AS BIGINT) AS cross_saved_bytes FROM m""")
 def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.accounting(cdc_chunks(spark, sf_dir), ["doc_id", "seq"], "doc_id")
 
@@ -393,16 +474,17 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seal_open_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lit(routing.derive_key("a test password", b"siltstone-salt-1", 14))
     coded = routing.encode_blocks(S.documents(spark, sf_dir), ["doc_id"], "content", "fast")
-    sealed = coded.withColumn("sealed", routing.seal(F.col("payload"), key, F.col("doc_id")))
-    opened = routing.unseal(F.col("sealed"), key, F.col("doc_id"))
-    return sealed.agg(F.count("*").alias("entries"), F.count_if(opened == F.col("payload")).alias("opened"), F.count_if(routing.unseal(F.col("sealed"), key, F.col("doc_id") + 1).isNotNull()).alias("opened_elsewhere"))
+    bound, elsewhere = F.concat_ws(":", F.lit("archive"), F.col("doc_id")), F.concat_ws(":", F.lit("archive"), F.col("doc_id") + 1)
+    sealed = coded.withColumn("sealed", routing.seal(F.col("payload"), key, F.col("doc_id"), b"once", bound))
+    opened = routing.unseal(F.col("sealed"), key, bound)
+    return sealed.agg(F.count("*").alias("entries"), F.count_if(opened == F.col("payload")).alias("opened"), F.count_if(routing.unseal(F.col("sealed"), key, elsewhere).isNotNull()).alias("opened_elsewhere"))
 
 
 @_query("SELECT count(*) AS chunks, count(*) AS equal FROM (SELECT unnest(range(CAST(ceil(strlen(text) / 1024.0) AS BIGINT))) FROM documents WHERE strlen(text) > 0)")
 def solid_lane_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks.fixed_blocks(S.documents(spark, sf_dir).select("doc_id", "content"), 1024)
     rows = rows.withColumn("id", F.col("doc_id") * 65536 + F.col("block_no"))
-    lanes = blocks.block_statistics(rows, "id", "bytes").select("id", "lane")
+    lanes = blocks.block_statistics(rows, "id", "bytes", ["lane"]).select("id", "lane")
     routed = rows.join(lanes, "id").withColumn("segment", F.floor(F.col("doc_id") / 64))
     placed = routed.withColumn("place", F.row_number().over(Window.partitionBy("segment", "lane").orderBy("id")) - 1)
     back = routing.open_lanes(routing.solid_lanes(routed, "segment", ["id"], "lane", "bytes"), "segment").withColumnRenamed("bytes", "again")
@@ -460,7 +542,11 @@ def json_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.json_keys(S.table(spark, sf_dir, "events"), "props", ["k", "v"]).groupBy("event_type", "keys_ok").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query("""
+WITH RECURSIVE r AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+p AS (SELECT conv_id, turn, size, k, size AS fill, 0 AS segment FROM r WHERE k = 1
+  UNION ALL SELECT r.conv_id, r.turn, r.size, r.k, CASE WHEN fill > 0 AND fill + r.size > 600 THEN r.size ELSE fill + r.size END, segment + CASE WHEN fill > 0 AND fill + r.size > 600 THEN 1 ELSE 0 END FROM p JOIN r ON r.conv_id = p.conv_id AND r.k = p.k + 1)
+SELECT conv_id, turn, size, segment FROM p""")
 def segment_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.pack_segments(S.conversations(spark, sf_dir).select("conv_id", "turn", "size"), "conv_id", "turn", "size", 600)
 
@@ -496,7 +582,7 @@ def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.documents(spark, sf_dir).select("doc_id", C.sniff(content).alias("kind"))
 
 
-@_query()
+@_query(f"{_CHUNKS} SELECT doc_id, seq, off, size, digest FROM chunks")
 def stream_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = streams.follow(spark, f"{sf_dir}/documents.parquet")
     parts = docs.select("doc_id", F.lit(0).alias("part_no"), C.utf8(F.coalesce("text", F.lit(""))).alias("bytes"), F.lit(True).alias("last"))

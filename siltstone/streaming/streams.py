@@ -146,3 +146,14 @@ class Progress(StreamingQueryListener):
 def conversation_parts(turns: DataFrame) -> DataFrame:
     """conversations as parts of byte streams, each of which stands for a stream of its own turn order."""
     return turns.select("conv_id", F.col("turn").alias("part_no"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"), F.lit(True).alias("last"))
+
+
+def windowed_peaks(samples: DataFrame, by: str, at: str, value: str, every: str) -> DataFrame:
+    """(by, at, samples, peak): the highest value of each group in windows of time, over the stream to the end of its present
+    input. Each batch replaces the table of all windows, so late samples count; state is a row a group and window."""
+    spark = samples.sparkSession
+    folder = f"{shared_dir(spark)}/peaks-{uuid.uuid4().hex}"
+    found = samples.groupBy(by, F.window(F.col(at).cast("timestamp"), every).alias("w")).agg(F.count("*").alias("samples"), F.max(value).alias("peak"))
+    rows = found.select(by, F.col("w.start").alias(at if by != at else "at"), "samples", "peak").toDF(by, "at", "samples", "peak")
+    rows.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows")).outputMode("complete").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")

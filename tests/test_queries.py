@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone.operators import chunks
-from siltstone.plans import catalogue
+from siltstone.plans import catalogue, checks  # noqa: F401
 from siltstone.sources import entries as S
 from siltstone.sources.shared import kept
 from siltstone.streaming import streams
@@ -119,18 +119,34 @@ def test_tree(spark, tmp_path):
 def test_frames(spark, tmp_path):
     spark.dataSource.register(S.FrameSource)
     S.write_frames(f"{tmp_path}/one.frames", [b"a", b"", b"ccc"])
-    assert [(r.frame_index, bytes(r.payload)) for r in spark.read.format("frames").load(f"{tmp_path}/*.frames").orderBy("frame_index").collect()] == [(0, b"a"), (1, b""), (2, b"ccc")]
+    want = [(0, b"a"), (1, b""), (2, b"ccc")]
+    assert [(r.frame_index, bytes(r.payload)) for r in spark.read.format("frames").load(f"{tmp_path}/*.frames").orderBy("frame_index").collect()] == want
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/one.frames")
+    assert [(r.frame_index, bytes(r.payload)) for r in S.read_frames(files).orderBy("frame_index").collect()] == want
     data = (tmp_path / "one.frames").read_bytes()
-    for k, bad in enumerate((data[:-1], data + b"x", data[14:], data[:5])):
+    damaged = bytearray(data)
+    damaged[17] ^= 1
+    for k, bad in enumerate((data[:-1], data + b"x", data[:4] + data[18:], data[:5], b"", bytes(damaged))):
         (tmp_path / f"bad{k}").write_bytes(bad)
-        with pytest.raises(Exception, match="bad frame|cut|after its end"):
+        with pytest.raises(Exception, match="bad frame|cut|after its end|not what was written"):
             spark.read.format("frames").load(f"{tmp_path}/bad{k}").collect()
+    rows = spark.createDataFrame([("s", 1, b"y"), ("s", 0, None), ("t", 0, b"z")], "s string, i int, p binary")
+    made = S.frame_files(rows, "s", "i", "p", b"key")
+    assert {(r.s, r.frame_index, bytes(r.payload)) for r in S.read_frames(made, "s", key=b"key").collect()} == {("s", 0, b""), ("s", 1, b"y"), ("t", 0, b"z")}
+    with pytest.raises(Exception, match="not what was written"):
+        S.read_frames(made, "s", key=b"other").collect()
+
+
+def test_soak(spark):
+    one, two = ({r.path: bytes(r.content) for r in S.soak(spark, seed, 6, 9000).collect()} for seed in (1, 1))
+    assert one == two and all(len(c) == 9000 for c in one.values()) and len(set(one.values())) == 6
+    assert S.tool_versions(spark).where("version is null").count() == 0
 
 
 def test_generated(spark):
     one = {r.path: bytes(r.content) for r in S.generated(spark, 7, 2048).collect()}
     assert len(one) == 78 and one == {r.path: bytes(r.content) for r in S.generated(spark, 7, 2048).repartition(3).collect()}
-    assert one["dedup/000.bin"] == one["dedup/005.bin"] and one["random/000.bin"] != one["random/001.bin"] and one["empty/000.bin"] == b""
+    assert one["copies/000.bin"] == one["copies/005.bin"] and one["random/000.bin"] != one["random/001.bin"] and one["empty/000.bin"] == b""
 
 
 def test_process_text(spark):

@@ -117,7 +117,7 @@ def word_scores(rows: DataFrame, prior: float = PRIOR, z_min: float = Z_MIN, dri
         listed = words.sparkSession.createDataFrame([(f,) for f in chosen], "f bigint")
         member = words.select("word", F.explode("family").alias("f")).join(F.broadcast(listed), "f", "left_semi").select("word").distinct()
         told = told.unionAll(own.join(member, "word").select(own.columns)).distinct()
-    for r in told.toLocalIterator():
+    for r in told.collect():  # bounded by the labelled sample
         value, family = r.score, next((chosen[f] for f in reversed(r.family) if f in chosen), None)
         if family:
             share = family[2] / (family[2] + family[3])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +48,8 @@ def kept(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     rows.write.parquet(path)
     if before is not None and (old := getattr(before, "_kept_at", None)):
         remove(spark, old)
-        _folders[spark.sparkContext.applicationId].remove(old)
+        with suppress(ValueError):
+            _folders[spark.sparkContext.applicationId].remove(old)
     out = spark.read.schema(rows.schema).parquet(path)
     out._kept_at = path
     return out

@@ -17,6 +17,11 @@ from ..functions import kernels as N
 PROFILES = ("fast", "balanced", "research")
 
 
+def spread(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows in four partitions a core: what takes seconds a MB mustn't wait for the few row groups of a file."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *key)
+
+
 def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str = "balanced", payload: bool = True) -> DataFrame:
     """(key..., size, mode, payload_size[, payload]) with the smallest payload that the profile's codecs give."""
     if profile not in PROFILES:
@@ -59,14 +64,14 @@ def decode_blocks(encoded: DataFrame, key: list[str]) -> DataFrame:
 
 def trial_sizes(blocks: DataFrame, key: list[str], content: str) -> DataFrame:
     """(key..., one column of payload sizes for every codec in the registry)."""
-    base = blocks.select(*key, F.col(content).cast("binary").alias("_content"))
+    base = spread(blocks.select(*key, F.col(content).cast("binary").alias("_content")), key)
     at = len(key)
     schema = T.StructType([*(base.schema[k] for k in key), *(T.StructField(n.lower(), T.IntegerType()) for n in X.CODECS)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, at):
             texts = [b or b"" for b in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], *(pa.array([len(c.encode(b)) for b in texts], pa.int32()) for c in X.CODECS.values())], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], *(pa.array(list(map(len, p)), pa.int32()) for p in X.encode_all(texts).values())], schema.names)
 
     return base.mapInArrow(apply, schema)
 

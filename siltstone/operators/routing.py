@@ -27,6 +27,8 @@ def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
     base = blocks.select(*key, F.col(content).cast("binary").alias("_content"))
+    if profile == "research":
+        base = spread(base, key)
     at = len(key)
     fields = [*(base.schema[k] for k in key), T.StructField("size", T.IntegerType()), T.StructField("mode", T.StringType()), T.StructField("payload_size", T.IntegerType())]
     schema = T.StructType(fields + [T.StructField("payload", T.BinaryType())] * payload)
@@ -34,14 +36,10 @@ def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, at):
             s = N.statistics(*N.buffers(part.column(at)), {"delta_smoothness_ratio", "entropy_bits_per_byte"}) if profile == "balanced" else None
-            modes, payloads, sizes = [], [], []
-            for i, block in enumerate(part.column(at).to_pylist()):
-                block = block or b""
-                names = ["RAW", "DEFLATE"] if profile == "fast" else None if profile == "research" else N.balanced_candidates(s["delta_smoothness_ratio"][i], len(block), s["entropy_bits_per_byte"][i])
-                mode, coded = X.smallest(block, names)
-                modes.append(mode)
-                payloads.append(coded)
-                sizes.append(len(block))
+            texts = [b or b"" for b in part.column(at).to_pylist()]
+            sizes = [len(b) for b in texts]
+            names = [N.balanced_candidates(s["delta_smoothness_ratio"][i], n, s["entropy_bits_per_byte"][i]) if s else ["RAW", "DEFLATE"] if profile == "fast" else None for i, n in enumerate(sizes)]
+            modes, payloads = zip(*X.smallest_many(texts, names))
             columns = [*part.columns[:at], pa.array(sizes, pa.int32()), pa.array(modes, pa.string()), pa.array([len(p) for p in payloads], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(payloads, pa.binary())] * payload, schema.names)
 

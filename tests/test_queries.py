@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siltstone.operators import chunks
+from siltstone.operators import chunks, routing
 from siltstone.plans import catalogue, checks  # noqa: F401
 from siltstone.sources import entries as S
 from siltstone.sources.shared import kept
@@ -55,6 +55,14 @@ def test_codec_trials_cover_documents(spark, small):
     assert catalogue.mutation_fuzz_summary(spark, small).agg(F.sum("n")).first()[0] == 16 * len(ids)
 
 
+@pytest.mark.parametrize("work", [lambda d: routing.trial_sizes(d, ["doc_id"], "content"), lambda d: routing.encode_blocks(d, ["doc_id"], "content", "research")])
+def test_heavy_work_leaves_few_row_groups(spark, small, work):
+    """Documents of one row group are coded by all cores."""
+    docs = work(S.documents(spark, small).coalesce(1)).withColumn("part", F.spark_partition_id())
+    counts = [r["count"] for r in docs.groupBy("part").count().collect()]
+    assert len(counts) > 16 and max(counts) < sum(counts) / 8
+
+
 def test_entry(spark):
     assert entry.entry(spark).first().logical_count > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) == len(set(entry.queries()))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,13 +85,17 @@ def stream_material(comparator: Column) -> Column:
     return C.length_prefixed(F.lit(STREAM_DOMAIN), *(F.col(c).cast("string") for c in CASE_FIELDS), comparator)
 
 
-def indices(material: bytes, count: int, below: int) -> np.ndarray:
-    """The first count indices: 64-bit words of SHA-256 over material and a counter, those beyond the last multiple of
-    below rejected, the rest taken modulo below."""
+#: Resamples whose arrays are made at once; they stay below the 128 KiB from which the allocator maps fresh pages each time.
+AT_ONCE = 1000
+
+
+def index_blocks(material: bytes, size: int, below: int) -> Iterator[np.ndarray]:
+    """The index stream in blocks of size, without end: 64-bit words of SHA-256 over material and a counter, those beyond the
+    last multiple of below rejected, the rest taken modulo below."""
     limit = (1 << 64) - (1 << 64) % below
-    head, out, counter, have = hashlib.sha256(material), [], 0, 0
-    while have < count:
-        n = max(64, (count - have) // 4 + 1)
+    head, held, counter = hashlib.sha256(material), np.zeros(0, np.int64), 0
+    while True:
+        n = max(64, (size - len(held)) // 4 + 1)
         digests = bytearray()
         for k in range(counter, counter + n):
             block = head.copy()
@@ -100,9 +105,41 @@ def indices(material: bytes, count: int, below: int) -> np.ndarray:
         words = np.frombuffer(bytes(digests), ">u8").astype(np.uint64)
         if limit < 1 << 64:
             words = words[words < np.uint64(limit)]
-        out.append((words % np.uint64(below)).astype(np.int64))
-        have += len(words)
-    return np.concatenate(out)[:count] if out else np.zeros(0, np.int64)
+        held = np.concatenate([held, (words % np.uint64(below)).astype(np.int64)])
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+
+
+def indices(material: bytes, count: int, below: int) -> np.ndarray:
+    """The first count indices of the stream."""
+    return next(index_blocks(material, count, below)) if count else np.zeros(0, np.int64)
+
+
+def resampled(material: bytes, ratios: np.ndarray, resamples: int) -> Iterator[np.ndarray]:
+    """The medians of all resamples, up to AT_ONCE at a time."""
+    width = len(ratios)
+    blocks = index_blocks(material, AT_ONCE * width, width)
+    for done in range(0, resamples, AT_ONCE):
+        yield _medians(ratios, next(blocks)[: (resamples - done) * width].reshape(-1, width))
+
+
+def _medians(ratios: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """The median of ratios at each row of picks. Ranks are compared instead of ratios, a column of all rows at a time."""
+    count = len(ratios)
+    if count % 2 == 0 or count > 63 or np.isnan(ratios).any():
+        return np.median(ratios[picks], axis=1)
+    order = np.argsort(ratios, kind="stable")
+    rank = np.empty(count, np.uint8)
+    rank[order] = np.arange(count)
+    lines = np.ascontiguousarray(rank[picks].T)
+    least = np.empty(len(picks), np.uint8)
+    for turn in range(count):  # odd-even transposition sorts each row
+        for k in range(turn % 2, count - 1, 2):
+            np.minimum(lines[k], lines[k + 1], out=least)
+            np.maximum(lines[k], lines[k + 1], out=lines[k + 1])
+            lines[k] = least
+    return ratios[order][lines[count // 2]]
 
 
 def bootstrap(cases: DataFrame, key: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE) -> DataFrame:
@@ -112,22 +149,53 @@ def bootstrap(cases: DataFrame, key: str, resamples: int = RESAMPLES, confidence
     Cases are independent: a case is one row and its resamples are one array in the worker; the few rows are spread over all
     cores first.
     """
-    base = cases.select(key, "material", "candidate", "comparator").repartition(cases.sparkSession.sparkContext.defaultParallelism, key)
-    kind = base.schema[key].dataType.simpleString()
     tail = (1 - confidence) / 2
 
+    def one(material: bytes, ratios: np.ndarray) -> tuple:
+        picked = np.concatenate(list(resampled(material, ratios, resamples)))
+        low, high = np.quantile(picked, [tail, 1 - tail])
+        return float(np.median(ratios)), float(low), float(high), bool(high < 1)
+
+    return _each_case(cases, key, one, {"ratio_median": "double", "lower": "double", "upper": "double", "passed": "boolean"})
+
+
+def passes(material: bytes, ratios: np.ndarray, resamples: int = RESAMPLES, confidence: float = CONFIDENCE) -> bool:
+    """Whether the interval's upper end is below 1, as bootstrap() has it. The upper end lies between two places of the sorted
+    medians, so resampling ends as soon as so many medians are below 1, or aren't, that the rest can't change the answer;
+    where both places differ in that, the whole interval is worked out."""
+    upper = 1 - (1 - confidence) / 2
+    place = (resamples - 1) * upper
+    enough_below, enough_others = min(resamples, math.ceil(place + 1e-6) + 1), resamples - max(0, math.floor(place - 1e-6))
+    picked, below, seen = [], 0, 0
+    for medians in resampled(material, ratios, resamples):
+        picked.append(medians)
+        seen += len(medians)
+        below += int((medians < 1).sum())
+        if below >= enough_below:
+            return True
+        if seen - below >= enough_others and not np.isnan(ratios).any():
+            return False
+    return bool(np.quantile(np.concatenate(picked), [1 - upper, upper])[1] < 1)
+
+
+def verdicts(cases: DataFrame, key: str) -> DataFrame:
+    """(key, passed) of bootstrap()."""
+    return _each_case(cases, key, lambda material, ratios: (passes(material, ratios),), {"passed": "boolean"})
+
+
+def _each_case(cases: DataFrame, key: str, one: Callable[[bytes, np.ndarray], tuple], names: dict[str, str]) -> DataFrame:
+    """(key, names...) that one gives of each case's material and paired ratios."""
+    # by another expression than the cases are grouped by: else their shuffle may be taken for it and gathered in few tasks
+    base = cases.select(key, "material", "candidate", "comparator").repartition(4 * cases.sparkSession.sparkContext.defaultParallelism, F.xxhash64(key))
+    kinds = {"double": pa.float64(), "boolean": pa.bool_()}
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for material, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                ratios = np.array(a, float) / np.array(b, float)
-                picked = np.median(ratios[indices(material, resamples * len(ratios), len(ratios)).reshape(resamples, -1)], axis=1)
-                low, high = np.quantile(picked, [tail, 1 - tail])
-                rows.append((float(np.median(ratios)), float(low), float(high), bool(high < 1)))
-            c = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in c[:3]), pa.array(c[3], pa.bool_())], [key, "ratio_median", "lower", "upper", "passed"])
-
-    return base.mapInArrow(apply, f"{key} {kind}, ratio_median double, lower double, upper double, passed boolean")
+            rows = [one(m, np.array(a, float) / np.array(b, float)) for m, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            c = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kinds[k]) for x, k in zip(c, names.values()))], [key, *names])
+
+    return base.mapInArrow(apply, f"{key} {base.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in names.items()))
 
 
 def index_stream(cases: DataFrame, key: str, count: int, below: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siltstone.operators import chunks, routing
+from siltstone.operators import chunks, routing, stats
 from siltstone.plans import catalogue, checks  # noqa: F401
 from siltstone.sources import entries as S
 from siltstone.sources.shared import kept
@@ -167,3 +167,17 @@ def test_partition_count_changes_nothing(spark, small):
     docs = S.documents(spark, small)
     few, many = (sorted(map(tuple, chunks.content_chunks(docs.repartition(n), "doc_id", "content", 64, 128, 512).collect())) for n in (1, 7))
     assert few == many
+
+
+@pytest.mark.parametrize("partitions", [8, 32])
+def test_cases_are_spread(spark, partitions):
+    """Cases that were grouped by their key into as many partitions as they are spread over don't gather in one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = spark.range(300).selectExpr("id % 100 AS k", "CAST(1 AS DOUBLE) AS a")
+        cases = rows.groupBy("k").agg(F.collect_list("a").alias("candidate")).selectExpr("k", "CAST(k AS STRING) AS t", "candidate", "candidate AS comparator").withColumn("material", F.encode("t", "utf-8"))
+        found = stats.bootstrap(cases, "k", 10).withColumn("part", F.spark_partition_id())
+        assert found.select("part").distinct().count() > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

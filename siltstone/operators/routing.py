@@ -19,7 +19,7 @@ PROFILES = ("fast", "balanced", "research")
 
 def spread(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows in four partitions a core: what takes seconds a MB mustn't wait for the few row groups of a file."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *key)
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*key))
 
 
 def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str = "balanced", payload: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +39,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def rows_of(data: np.ndarray | bytes, off: np.ndarray) -> pa.Array:
+    """A binary column of the rows between offsets, without a copy of the bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = WORK_BYTES, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded bytes and rows; a longer row is alone in its batch."""
     for batch in batches:
@@ -166,36 +172,61 @@ def check_sizes(least: int, average: int, most: int) -> None:
         raise ValueError("chunk sizes need 64 <= least <= average <= most <= 16 MiB and an average that is a power of two")
 
 
+#: Bytes whose fingerprints are worked out at once; they stay in a core's cache.
+TILE_BYTES = 1 << 17
+
+
+def _prints(data: np.ndarray, average: int) -> tuple[list[int], bytes]:
+    """(places where a full window's fingerprint is 0, for each place the least count of bytes from it, fewer than a window, whose
+    fingerprint is 0, else 0). Fingerprints are held in the high bits, where those beyond the average drop out."""
+    window, n = average.bit_length() - 1, len(data)
+    kind, bits = (np.uint16, 16) if window <= 16 else (np.uint32, 32)
+    table = (gear(average) << (bits - window)).astype(kind)
+    short, hits = np.zeros(n, np.uint8), []
+    for a in range(0, n, TILE_BYTES):
+        begin = max(0, a - window + 1)
+        value = table[data[begin : a + TILE_BYTES]]
+        full = value.copy()
+        for j in range(window):
+            if j:
+                value <<= 1
+                full[j:] ^= value[:-j]
+            found = np.flatnonzero(full == 0) + begin
+            found = found[found >= max(a, j)]
+            if j == window - 1:
+                hits += found.tolist()
+            else:
+                found -= j
+                short[found[short[found] == 0]] = j + 1
+    return hits, short.tobytes()
+
+
+def cuts_many(data: np.ndarray, off: np.ndarray, least: int, average: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of the content-defined chunks of every row, as places in data; how many each row has). A cut's fingerprint covers the
+    last log2(average) bytes, so it is found for all places at once, also where fewer bytes follow the least size; only the cuts
+    are looked at singly. No window reaches back over a chunk's least size, so rows don't mix."""
+    hits, short = _prints(data, average)
+    beyond, ends, counts, k = average.bit_length() - 2, [], [], 0
+    off = off.tolist()
+    for at, n in zip(off, off[1:]):
+        had = len(ends)
+        while at < n:
+            first, stop = at + least - 1, min(n, at + most)
+            if first >= n:
+                at = n
+            elif (few := short[first]) and first + few <= stop:
+                at = first + few
+            else:
+                k = bisect_left(hits, first + beyond, k)
+                at = hits[k] + 1 if k < len(hits) and hits[k] < stop else stop
+            ends.append(at)
+        counts.append(len(ends) - had)
+    return np.array(ends, np.int64), np.array(counts, np.int64)
+
+
 def cuts(data: np.ndarray, least: int, average: int, most: int) -> list[int]:
-    """Ends of the content-defined chunks of one stream. A cut's fingerprint covers the last log2(average) bytes, so it is
-    found for all places at once; only the first places after the least size, whose window is short, are looked at singly."""
-    n, mask, window = len(data), average - 1, average.bit_length() - 1
-    if n < least:
-        return [n] if n else []
-    table = gear(average)
-    value = table[data]
-    full = np.zeros(n, np.int64)
-    for j in range(window):
-        full[j:] ^= value[: n - j] << j
-    hits = np.flatnonzero((full & mask) == 0)
-    ends, at = [], 0
-    while at < n:
-        first = at + least - 1
-        if first >= n:
-            ends.append(n)
-            break
-        stop, end, print_ = min(n, at + most), 0, 0
-        for i in range(first, min(first + window - 1, stop)):
-            print_ = ((print_ << 1) ^ int(value[i])) & mask
-            if not print_:
-                end = i + 1
-                break
-        if not end:
-            k = int(np.searchsorted(hits, first + window - 1))
-            end = int(hits[k]) + 1 if k < len(hits) and hits[k] < stop else stop
-        ends.append(end)
-        at = end
-    return ends
+    """Ends of the content-defined chunks of one stream."""
+    return cuts_many(data, np.array([0, len(data)]), least, average, most)[0].tolist()
 
 
 def balanced_candidates(smoothness: float, size: int, entropy: float) -> list[str]:

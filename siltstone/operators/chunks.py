@@ -28,22 +28,14 @@ def content_chunks(entries: DataFrame, key: str, content: str, least: int = LEAS
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in N.pieces(batches, 1):
             data, off = N.buffers(part.column(1))
-            owner, seq, at, size, digests, blobs = [], [], [], [], [], []
-            for i in range(part.num_rows):
-                x = data[off[i] : off[i + 1]]
-                begin = 0
-                for k, end in enumerate(N.cuts(x, least, average, most)):
-                    piece = x[begin:end].tobytes()
-                    owner.append(i)
-                    seq.append(k)
-                    at.append(begin)
-                    size.append(end - begin)
-                    digests.append(hashlib.sha256(piece).hexdigest())
-                    if payload:
-                        blobs.append(piece)
-                    begin = end
-            columns = [part.column(0).take(pa.array(owner, pa.int64())), pa.array(seq, pa.int32()), pa.array(at, pa.int64()), pa.array(size, pa.int32()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())] * payload, schema.names)
+            ends, counts = N.cuts_many(data, off, least, average, most)
+            begin = np.r_[0, ends][: len(ends)]  # rows lie one after another, so chunks do
+            owner = np.repeat(np.arange(part.num_rows), counts)
+            seq = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts, counts)
+            view = memoryview(data)
+            digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(begin.tolist(), ends.tolist())]
+            columns = [part.column(0).take(pa.array(owner)), pa.array(seq.astype(np.int32)), pa.array(begin - off[owner]), pa.array((ends - begin).astype(np.int32)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [N.rows_of(data, np.r_[0, ends])] * payload, schema.names)
 
     return base.mapInArrow(apply, schema)
 
@@ -134,19 +126,31 @@ def restore(occurrences: DataFrame, unique: DataFrame, key: str) -> DataFrame:
     schema = T.StructType([T.StructField(key, occurrences.schema[key].dataType), T.StructField("content", T.BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, begun = None, [], False
+        held, begun, kind = None, [], None
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([held], kind), pa.array([b"".join(begun)], pa.binary())], schema.names)
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                who, piece = batch.column(0)[row], batch.column(2)[row].as_py()
-                if piece is None:
-                    raise ValueError(f"entry {who.as_py()!r} lacks a chunk")
-                if not begun or who != held:
-                    if begun:
-                        yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], batch.schema.field(0).type), pa.array([b"".join(parts)], pa.binary())], schema.names)
-                    held, parts, begun = who, [], True
-                parts.append(piece)
+            who, kind = batch.column(0).to_pylist(), batch.column(0).type
+            if not who:
+                continue
+            if batch.column(2).null_count:
+                raise ValueError(f"entry {who[batch.column(2).is_null().index(True).as_py()]!r} lacks a chunk")
+            data, off = N.buffers(batch.column(2))
+            first = [0, *(k for k in range(1, len(who)) if who[k] != who[k - 1]), len(who)]
+            if begun and who[0] == held:
+                begun.append(data[: off[first[1]]].tobytes())
+                first = first[1:]
+            if len(first) > 1:
+                if begun:
+                    yield whole()
+                if len(first) > 2:  # all entries but the last end here
+                    at = off[first[:-1]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first[:-2])), N.rows_of(data[at[0] :], at - at[0])], schema.names)
+                held, begun = who[first[-2]], [data[off[first[-2]] :].tobytes()]
         if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], held.type), pa.array([b"".join(parts)], pa.binary())], schema.names)
+            yield whole()
 
     return parts.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(join, schema)
 

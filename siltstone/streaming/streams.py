@@ -47,7 +47,8 @@ def chunk_parts(parts: DataFrame, key: str, least: int, average: int, most: int)
 
     def cut(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, seq, off = state.get if state.exists else (b"", 0, 0)
-        pdf = pd.concat(frames).sort_values("part_no")
+        pdf = pd.concat(frames)
+        pdf = pdf.sort_values("part_no") if len(pdf) > 1 else pdf
         data = bytes(held) + b"".join(b for b in pdf["bytes"] if b is not None)
         ends = N.cuts(np.frombuffer(data, np.uint8), least, average, most)
         over = bool(pdf["last"].any())

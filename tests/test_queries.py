@@ -73,6 +73,15 @@ def test_stream_equals_batch(spark, small):
     assert as_rows(catalogue.stream_cdc(spark, small)) == as_rows(catalogue.cdc_chunks(spark, small))
 
 
+def test_whole_documents_need_no_state(spark, small, monkeypatch):
+    """Documents that arrive whole are cut in Arrow batches on all cores, without a call or state for each."""
+    kept = []
+    monkeypatch.setattr(streams, "run_to_end", lambda stream: kept.append(stream) or stream)
+    catalogue.stream_cdc(spark, small)
+    plan = kept[0]._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "State" not in plan and "RepartitionByExpression" in plan
+
+
 def parts_in_batches(spark, folder, rows, schema):
     """A stream whose files come one to a batch, in order."""
     for k, part in enumerate(rows):

@@ -17,9 +17,9 @@ from ..functions import kernels as N
 PROFILES = ("fast", "balanced", "research")
 
 
-def spread(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows in four partitions a core: what takes seconds a MB mustn't wait for the few row groups of a file."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*key))
+def spread(rows: DataFrame, key: list[str], each: int = 4) -> DataFrame:
+    """rows in four partitions a core, or each: what takes seconds a MB mustn't wait for the few row groups of a file."""
+    return rows.repartition(each * rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*key))
 
 
 def encode_blocks(blocks: DataFrame, key: list[str], content: str, profile: str = "balanced", payload: bool = True) -> DataFrame:
@@ -88,36 +88,62 @@ def sampled_lanes(blocks: DataFrame, key: list[str], content: str, keep: bool =
 
 
 def solid_lanes(chunks: DataFrame, group: str, order: list[str], lane: str, content: str) -> DataFrame:
-    """(group, lane, n, raw_bytes, sizes, payload): chunks of a lane joined in order and coded as one stream."""
-    kind = chunks.schema[group].dataType.simpleString()
+    """(group, lane, n, raw_bytes, sizes, payload, keys...): chunks of a lane joined in order and coded as one stream. keys are
+    the order columns of the chunks, an array each, under their names with _keys.
+
+    Lanes are spread over all cores by a hash, 8 partitions a core as some get more lanes than others, and come to a task sorted,
+    so it holds the bytes of one lane.
+    """
+    base = chunks.select(F.col(group), F.col(lane).alias("lane"), F.col(content).alias("_content"), *(F.col(k).alias(f"{k}_keys") for k in order))
+    keys = base.columns[3:]
+    schema = T.StructType([
+        base.schema[group], T.StructField("lane", T.StringType()), T.StructField("n", T.LongType()), T.StructField("raw_bytes", T.LongType()), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()),
+        *(T.StructField(k, T.ArrayType(base.schema[k].dataType)) for k in keys),
+    ])
+
+    def code(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = [N.buffers(part.column(2)) for part in held]
+        data, sizes = b"".join(x.tobytes() for x, _ in texts), np.concatenate([np.diff(off) for _, off in texts])
+        name = held[0].column(1)[0].as_py()
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays([part.column(3 + k) for part in held])) for k in range(len(keys))]
+        one = [held[0].column(0).slice(0, 1), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([sizes], pa.list_(pa.int64())), pa.array([X.lane_encode(data, N.LANES.index(name))], pa.binary())]
+        return pa.RecordBatch.from_arrays(one + lists, schema.names)
 
-    def code(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(order)
-        data = b"".join(pdf[content])
-        name = pdf[lane].iloc[0]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "lane": [name], "n": [len(pdf)], "raw_bytes": [len(data)], "sizes": [[len(b) for b in pdf[content]]], "payload": [X.lane_encode(data, N.LANES.index(name))]})
-
-    return chunks.select(group, *order, lane, content).groupBy(group, lane).applyInPandas(code, f"{group} {kind}, lane string, n bigint, raw_bytes bigint, sizes array<bigint>, payload binary")
-
-
-def open_lanes(lanes: DataFrame, group: str) -> DataFrame:
-    """(group, lane, place, bytes): the chunks of solid_lanes again, by their place in the lane."""
-    kind = lanes.schema[group].dataType
-    schema = T.StructType([T.StructField(group, kind), T.StructField("lane", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+        for batch in batches:
+            who = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            first = [k for k in range(len(who)) if not k or who[k] != who[k - 1]]
+            for a, b in zip(first, [*first[1:], len(who)]):
+                if held and who[a] != of:
+                    yield code(held)
+                    held = []
+                of = who[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield code(held)
+
+    return spread(base, [group, "lane"], 8).sortWithinPartitions(group, "lane", *keys).mapInArrow(apply, schema)
+
+
+def open_lanes(lanes: DataFrame, group: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(group, lane, place, bytes, keys...): the chunks of solid_lanes again, by their place in the lane and by their keys."""
+    base = lanes.select(group, "lane", "sizes", "payload", *(f"{k}_keys" for k in keys))
+    kinds = [base.schema[f"{k}_keys"].dataType.elementType for k in keys]
+    schema = T.StructType([base.schema[group], T.StructField("lane", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("bytes", T.BinaryType()), *map(T.StructField, keys, kinds)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lane, sizes, payload = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+                lane, payload = (batch.column(k)[i].as_py() for k in (1, 3))
                 data = X.lane_decode(payload, N.LANES.index(lane))
-                ends = np.cumsum(sizes)
-                if len(sizes) and ends[-1] != len(data):
+                ends = np.r_[0, np.cumsum(batch.column(2)[i].values.to_numpy())].astype(np.int64)
+                if ends[-1] != len(data):
                     raise X.Malformed("a lane of another size")
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(sizes)), pa.array([lane] * len(sizes)), pa.array(range(len(sizes)), pa.int32()), pa.array([data[e - n : e] for e, n in zip(ends, sizes)], pa.binary())], schema.names)
+                n = len(ends) - 1
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], n), pa.repeat(pa.scalar(lane), n), pa.array(np.arange(n, dtype=np.int32)), N.rows_of(data, ends), *(batch.column(4 + k)[i].values for k in range(len(keys)))], schema.names)
 
-    return lanes.select(group, "lane", "sizes", "payload").mapInArrow(apply, schema)
+    return base.mapInArrow(apply, schema)
 
 
 def seal(payload: Column, key: Column, frame: Column, prefix: bytes, bound: Column) -> Column:

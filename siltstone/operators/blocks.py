@@ -23,16 +23,18 @@ def fixed_blocks(entries: DataFrame, block: int, content: str = "content") -> Da
     return numbered.select(*(c for c in entries.columns if c != content), "block_no", F.substring(F.col(content), F.col("block_no") * block + 1, F.lit(block)).alias("bytes"))
 
 
-def block_statistics(entries: DataFrame, key: str, content: str, wanted: list[str] | None = None) -> DataFrame:
+def block_statistics(entries: DataFrame, key: str, content: str, wanted: list[str] | None = None, also: list[str] = []) -> DataFrame:  # noqa: B006
     """A row per entry: key, size, the seven features, delta4_entropy, random_looking, rle_size, delta8_size and lane; of those
-    after size only the wanted ones, if named, are worked out.
+    after size only the wanted ones, if named, are worked out. also names columns that are kept behind them, content among them
+    if it is wanted.
 
     Null content counts as empty: every statistic 0, lane standard. Rows are independent, so this never shuffles.
     """
-    base = entries.select(F.col(key), F.col(content).alias("_content"))
+    base = entries.select(F.col(key), F.col(content).alias("_content"), *(c for c in also if c != content))
     kinds = {**{n: T.DoubleType() for n in STATISTICS}, "random_looking": T.BooleanType(), "rle_size": T.LongType(), "delta8_size": T.LongType(), "lane": T.StringType()}
     names = [n for n in kinds if wanted is None or n in wanted]
-    schema = T.StructType([T.StructField(key, base.schema[key].dataType), T.StructField("size", T.LongType()), *(T.StructField(n, kinds[n]) for n in names)])
+    schema = T.StructType([T.StructField(key, base.schema[key].dataType), T.StructField("size", T.LongType()), *(T.StructField(n, kinds[n]) for n in names), *(T.StructField(c, entries.schema[c].dataType) for c in also)])
+    places = [base.columns.index("_content" if c == content else c) for c in also]
     worked = {*names, "entropy_bits_per_byte", "delta4_entropy"} if "lane" in names else set(names)
     lanes = np.array(N.LANES, dtype=object)
     arrow = {T.DoubleType(): np.float64, T.BooleanType(): bool, T.LongType(): np.int64}
@@ -41,7 +43,7 @@ def block_statistics(entries: DataFrame, key: str, content: str, wanted: list[st
         for part in N.pieces(batches, 1):
             s = N.statistics(*N.buffers(part.column(1)), worked)
             columns = [pa.array(lanes[N.exact_lanes(s)].tolist(), pa.string()) if n == "lane" else pa.array(s[n].astype(arrow[kinds[n]])) for n in names]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s["size"].astype(np.int64)), *columns], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s["size"].astype(np.int64)), *columns, *(part.column(k) for k in places)], schema.names)
 
     return base.mapInArrow(apply, schema)
 

@@ -109,8 +109,10 @@ def write(
     unique = pieces.groupBy("digest", "size").agg(F.min("bytes").alias("bytes"))
     if each_unique:
         each_unique(unique)
-    coded = routing.encode_blocks(unique, ["digest"], "bytes", profile)
-    numbered = chunks.prefix_sum(coded.withColumn("one", F.lit(1)), [F.col("digest")], "one", "frame").drop("one")
+    # frames are numbered before anything is coded, so that sorting them moves no payload and codes none twice
+    keys = pieces.select("digest", "size").distinct().withColumn("one", F.lit(1))
+    frames = chunks.prefix_sum(keys, [F.col("digest")], "one", "frame").drop("one")
+    numbered = routing.encode_blocks(unique.join(frames, ["digest", "size"]), ["digest", "frame"], "bytes", profile)
     archive, salt, nonce = uuid.uuid4().hex, os.urandom(16), os.urandom(4)
     key = routing.derive_key(password, salt, log_n) if password else None
     if key:

@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import container, manifests, reports
+from siltstone.operators import container, manifests, reports, routing
 
 
 @pytest.mark.parametrize("password", [None, "a long secret"])
@@ -63,6 +63,25 @@ def test_large_archive(spark, tmp_path):
     assert container.read(spark, f"{tmp_path}/many").where("intact").count() == 60_000
 
 
+def test_chunks_are_coded_once(spark, tmp_path, monkeypatch):
+    """Numbering the frames doesn't code the chunks for the sampling of their order."""
+    coded, log = routing.encode_blocks, tmp_path / "rows"
+
+    def logged(blocks, *args):
+        def tell(batches):
+            for batch in batches:
+                with open(log, "a") as f:
+                    f.write("x" * batch.num_rows)
+                yield batch
+
+        return coded(blocks, *args).mapInArrow(tell, coded(blocks, *args).schema)
+
+    monkeypatch.setattr(container.routing, "encode_blocks", logged)
+    entries = spark.range(500).select(F.concat(F.lit("d/"), "id").alias("path"), F.encode(F.sha2(F.col("id").cast("string"), 512), "utf-8").alias("content"))
+    container.write(entries, f"{tmp_path}/once", "a long secret", (256, 1024, 4096), "fast", 14)
+    assert log.stat().st_size == 500 == spark.read.parquet(f"{tmp_path}/once/chunks").count()
+
+
 def test_option_ranges(spark, tmp_path):
     entries = spark.createDataFrame([("a", b"x")], "path string, content binary")
     for options in ({"log_n": 9}, {"log_n": 30}, {"profile": "none"}, {"sizes": (64, 100, 512)}):
